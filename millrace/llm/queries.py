@@ -5,16 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import packing, quality_rules, toxicity
+from millrace.llm import decontaminate, licenses, ngram_join, packing, quality_classifier, quality_rules, toxicity, url_filters
 from millrace.llm.tables import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source, its path is the language section of that source."""
+    return quality_classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -26,7 +48,56 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_toxicity, op8_packing, op10_quality_rules)
+    f.__name__: f for f in (op1_decontamination, op3_url_filters, op4_toxicity, op5_quality_classifier, op6_license_scans, op7_ngram_join, op8_packing, op10_quality_rules)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SYMBOL_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WHITE_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_SHINGLES = "unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)"
+
+
+def _op1_sql() -> str:
+    words = _SYMBOL_WORDS.format(_LOWER.format("text"))
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+i AS (SELECT item_id, {words} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, {_SHINGLES} AS s FROM d),
+bs AS (SELECT DISTINCT item_id, {_SHINGLES} AS s FROM i),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM hits JOIN n USING (item_id) WHERE 100 * n_shared >= {decontaminate.THRESHOLD} * n_item"""
+
+
+def _op3_sql() -> str:
+    rules = ", ".join(f"('{v}', '{r}', '{r.split('/')[0]}', '{r[r.index('/'):]}')" for v, r in url_filters.RULES)
+    patterns = " OR ".join(f"regexp_matches(host || path, '{p}')" for _, _, p, size, _ in url_filters.compile_rules([], url_filters.PATTERNS) if not size)
+    return rf"""
+WITH p AS (SELECT page_id, {_LOWER.format("regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')")} AS host,
+  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+r(v, rule, rh, rp) AS (VALUES {rules}),
+f AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(v, length(rule)) AS v
+  FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host <> '' AND ({patterns}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN f USING (page_id)"""
+
+
+def _op7_sql() -> str:
+    t = ngram_join.THRESHOLD
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WHITE_WORDS.format(_LOWER.format("text"))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, {_SHINGLES} AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= {t} * (na.n + nb.n - i)),
+c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT c.doc_id, links.b FROM c JOIN links ON links.a = c.r)
+SELECT c.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": _op1_sql(),
+    "op3_url_filters": _op3_sql(),
+    "op7_ngram_join": _op7_sql(),
+}

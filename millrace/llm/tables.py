@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.llm.wordhash import slices
 
@@ -47,3 +49,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col:
     chosen = chosen.groupBy(F.col(id_col)).agg(F.max(label_col).cast("int").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(rows)
     return docs.join(F.broadcast(chosen), id_col)
+
+
+def add_columns(df: DataFrame, text_col: str, fn: Callable[[np.ndarray, np.ndarray], list], fields: str) -> DataFrame:
+    """``df`` with the columns that ``fn(bytes, offsets)`` gives for a slice of texts; all rows and columns stay."""
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
+    at, names = df.columns.index(text_col), schema.names
+
+    def run(batches):
+        for batch in batches:
+            for i, raw, offsets in slices(batch.column(at)):
+                part = batch.slice(i, len(offsets) - 1)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in fn(raw, offsets))], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there, so that its lineage ends.
+
+    The folder is that of spark.checkpoint.dir; only where the session names none, a temporary one is used."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    return df.checkpoint()
