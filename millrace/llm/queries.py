@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, licenses, ngram_join, packing, quality_classifier, quality_rules, toxicity, url_filters
+from millrace.llm import decontaminate, licenses, line_templates, ngram_join, packing, quality_classifier, quality_rules, secret_scan, toxicity, url_filters
 from millrace.llm.tables import table
 
 
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -41,6 +45,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -48,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_url_filters, op4_toxicity, op5_quality_classifier, op6_license_scans, op7_ngram_join, op8_packing, op10_quality_rules)
+    f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_url_filters, op4_toxicity, op5_quality_classifier, op6_license_scans, op7_ngram_join, op8_packing, op9_line_dedup, op10_quality_rules)
 }
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -96,8 +104,24 @@ SELECT c.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_
 FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id"""
 
 
+def _op9_sql() -> str:
+    w = r"\x20\x09-\x0D"
+    variable = rf"(^|[{w}])[^{w}0-9@]*[0-9@][^{w}]*"
+    x = line_templates
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d),
+t AS (SELECT *, regexp_replace(line, '{variable}', '\1<*>', 'g') AS tpl, len(regexp_extract_all(line, '[^{w}]+')) AS n_tokens FROM l),
+c AS (SELECT tpl, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM t WHERE n_tokens >= {x.LEAST_TOKENS} GROUP BY tpl
+  HAVING n >= CASE WHEN contains(tpl, '<*>') THEN {x.LEAST_DOCS_VARIABLE} ELSE {x.LEAST_DOCS} END),
+k AS (SELECT t.r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+  FROM (SELECT t.*, c.tpl IS NOT NULL AND t.n_tokens >= {x.LEAST_TOKENS} AND t.doc_id IS DISTINCT FROM c.first AS gone FROM t LEFT JOIN c USING (tpl)) t GROUP BY t.r)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped, k.text AS text FROM d LEFT JOIN k USING (r)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _op1_sql(),
     "op3_url_filters": _op3_sql(),
     "op7_ngram_join": _op7_sql(),
+    "op9_line_dedup": _op9_sql(),
 }
