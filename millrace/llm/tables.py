@@ -65,11 +65,17 @@ def add_columns(df: DataFrame, text_col: str, fn: Callable[[np.ndarray, np.ndarr
     return df.mapInArrow(run, schema)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there, so that its lineage ends.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; only where the session names none, a temporary one."""
+    context = spark.sparkContext
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp())
+    return context.getCheckpointDir()
+
 
-    The folder is that of spark.checkpoint.dir; only where the session names none, a temporary one is used."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there, so that its lineage ends."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
