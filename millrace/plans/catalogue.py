@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from millrace.plans import text_queries
+
+_PARTS = (text_queries.R,)
+QUERIES = {k: f for r in _PARTS for k, f in r.queries.items()}
+ORACLE_SQL = {k: s for r in _PARTS for k, s in r.sql.items()}
