@@ -11,10 +11,10 @@ THRESHOLD %. The result is each document's component; all links between differen
    threshold share a shingle among the first n - ceil(t n) + 1 of both, so only those are posted;
    nodes without a posted shingle have no link and go. Rare shingles come first, so a passage that
    many documents share is posted hardly ever.
-4. Candidates, in two rounds, so that a large group never emits all its pairs: first each posted
-   shingle pairs its nodes with its smallest node only. The links found are contracted to components.
-   Then only pairs across components are left; one side of them always lies outside the component of
-   the shingle's smallest node.
+4. Candidates, in rounds, so that a large group never emits all its pairs: in each of ROUNDS rounds each
+   posted shingle pairs its nodes with one of them only, its hub, and the links found are contracted to
+   components. Then all pairs across components are taken that are left; one side of them always lies outside the
+   component of one chosen node of the shingle, which by then is nearly all of a large group.
 5. Verification is the prefix-tree walk: the ordered sets of the partners of one node, sorted, form a
    trie whose nodes are shared prefixes. The walk keeps the partial overlap at each depth, takes it up
    again at the longest common prefix of the next set, and leaves a subtree when the overlap so far and
@@ -34,6 +34,7 @@ id null; an empty table gives an empty result; extra columns are ignored by ``co
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ SHINGLE = 5
 #: Shingles in a partition of the exchanges; the number of partitions follows from it.
 PARTITION_SHINGLES = 4_000_000
 FLUSH_SHINGLES = 2_000_000
+#: Rounds in which a shingle pairs its nodes with one of them only, before all pairs that are left.
+ROUNDS = 4
 _LOW = U((1 << 48) - 1)
 
 
@@ -193,7 +196,7 @@ def _ordered(blocks: DataFrame) -> DataFrame:
 
 
 def _postings(ordered: DataFrame) -> DataFrame:
-    """A row for each posted shingle: ``key``, ``node``, ``size`` and ``left``, how many shingles stand from it on in the global order."""
+    """A row for each posted shingle: ``key``, ``node``, ``size``, ``own``, how many shingles only the node has, and ``left``, how many stand from it on in the global order."""
 
     def run(batches):
         for b in batches:
@@ -201,11 +204,12 @@ def _postings(ordered: DataFrame) -> DataFrame:
                 part = b.slice(i, 512)
                 posted = part["posted"].to_numpy()
                 keys = [np.frombuffer(x.as_py(), "<i8") for x in part["keys"]]
+                own = part["size"].to_numpy() - np.array([len(k) for k in keys], dtype=np.int32)
                 left = np.concatenate([np.array([], dtype=np.int32), *(len(k) - np.arange(m) for k, m in zip(keys, posted, strict=True))]).astype(np.int32)
                 keys = np.concatenate([np.array([], dtype=np.int64), *(k[:m] for k, m in zip(keys, posted, strict=True))])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(part[c].to_numpy(), posted)) for c in ("node", "size")), pa.array(left)], names=["key", "node", "size", "left"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(c, posted)) for c in (part["node"].to_numpy(), part["size"].to_numpy(), own)), pa.array(left)], names=["key", "node", "size", "own", "left"])
 
-    return ordered.mapInArrow(run, "key bigint, node bigint, size int, left int")
+    return ordered.mapInArrow(run, "key bigint, node bigint, size int, own int, left int")
 
 
 def _may_link(a: str, b: str):
@@ -238,22 +242,22 @@ def walk(a: np.ndarray, size: int, partners: list[tuple[np.ndarray, int]]) -> li
 
 
 def _verify(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+    """The labels, as links (a, b), of those of the pairs (a, b, label_a, label_b) that link."""
     left = ordered.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("keys").alias("keys_a"))
     right = ordered.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("keys").alias("keys_b"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "size_a", "size_b", "keys_a", "keys_b").sortWithinPartitions("a", "keys_b")
+    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "size_a", "size_b", "keys_a", "keys_b", "label_a", "label_b").sortWithinPartitions("a", "keys_b")
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                a, b, size_a, size_b = (part.column(k).to_numpy() for k in range(4))
+                a, size_a, size_b = (part.column(k).to_numpy() for k in (0, 2, 3))
                 start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
                 linked = []
                 for s, e in zip(start, np.append(start[1:], len(a)), strict=True):
                     partners = [(np.frombuffer(part.column(5)[k].as_py(), "<u8"), int(size_b[k])) for k in range(s, e)]
                     linked += walk(np.frombuffer(part.column(4)[int(s)].as_py(), "<u8"), int(size_a[s]), partners)
-                yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.column(k).to_numpy()[linked]) for k in (6, 7)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
@@ -262,7 +266,7 @@ def connected(links: DataFrame) -> DataFrame:
     """``node`` and ``label``, the smallest node of its component, of all nodes with links (a, b)."""
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    while True:
+    while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -276,24 +280,44 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _mixed(postings: DataFrame) -> DataFrame:
+    """The postings of shingles whose nodes are in several components."""
+    several = postings.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return postings.join(several, "key")
+
+
 def links(docs: DataFrame, text_col: str, total: int) -> DataFrame:
-    """Links (a, b) between nodes, enough of them to connect every component: all across the components that a shingle's smallest node makes."""
+    """Edges (a, b) that connect exactly the nodes that links connect."""
     parts = max(1, -(-total // PARTITION_SHINGLES))
     sent = _send(docs.select(F.col(text_col).cast("string")), parts)
     ordered = saved(_ordered(_shared(sent, parts)))
-    postings = saved(_postings(ordered))
-    hubs = postings.groupBy("key").agg(F.min(F.struct("node", "size", "left")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub.*")
-    pairs = postings.alias("p").join(hubs.alias("h"), "key").where("p.node <> h.node").where(_may_link("p", "h"))
-    found = saved(_verify(pairs.select(F.col("h.node").alias("a"), F.col("p.node").alias("b")).distinct(), ordered))
-    labels = connected(found)
-    # what is left: pairs of nodes of different components that share a posted shingle
-    named = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("key").agg(F.min(F.struct("node", "label")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.col("hub.label").alias("main"))
-    named = saved(named.join(mixed, "key"))
-    p, q = named.where("label <> main").alias("p"), named.alias("q")
-    cross = p.join(q, "key").where("p.label <> q.label and (q.label = q.main or p.node < q.node)").where(_may_link("p", "q"))
-    cross = cross.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-    return found.unionAll(_verify(cross, ordered))
+    current = saved(_mixed(_postings(ordered).withColumn("label", F.col("node"))))
+    edges, k = [], 0
+    while not current.isEmpty():
+        if k < ROUNDS:
+            # the node with the fewest shingles of its own is nearest to the middle of its group; then nodes by chance
+            rank = F.col("own").cast("bigint") if k == 0 else F.xxhash64("node", F.lit(k))
+            hubs = current.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "left", "label")).alias("hub")).select("key", "hub.*")
+            pairs = current.alias("p").join(hubs.alias("q"), "key").where("p.label <> q.label")
+        else:
+            main = current.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("rank"), "label")).alias("hub")).select("key", F.col("hub.label").alias("main"))
+            named = current.join(main, "key")
+            p = named.where("label <> main").alias("p")
+            pairs = p.join(named.alias("q"), "key").where("p.label <> q.label and (q.label = q.main or p.node < q.node)")
+        pairs = pairs.where(_may_link("p", "q")).select(F.struct("q.node", "q.label").alias("x"), F.struct("p.node", "p.label").alias("y"))
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("label_a"), F.col("y.label").alias("label_b"))
+        found = connected(_verify(pairs, ordered))
+        edges.append(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        if k == ROUNDS:
+            break
+        if found.isEmpty():
+            k = ROUNDS  # nothing left to contract
+            continue
+        k += 1
+        named = current.join(found.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+        current = saved(_mixed(named.withColumn("label", F.coalesce("to", "label")).drop("to")))
+    return reduce(DataFrame.unionAll, edges) if edges else docs.sparkSession.createDataFrame([], "a bigint, b bigint")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
