@@ -262,9 +262,10 @@ def top_fanout(spark, sf_dir):
     return d.select("q", "o_custkey", "o_orderkey", "position")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT conv_id FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id NOT IN (SELECT doc_id FROM labels)")
 def undefined_refs(spark, sf_dir):
-    return U.dangling(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Conversations without a labelled document of the same number."""
+    return U.dangling(table(spark, sf_dir, "conversations").select("conv_id").distinct(), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id")), "conv_id")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
