@@ -53,7 +53,7 @@ def majority_language(has_cjk: Column) -> Column:
 def path_fields(path: Column) -> dict[str, Column]:
     """Date, slug and run number out of a path."""
     name = F.element_at(F.split(path, "/"), -1)
-    return {"date": F.try_to_date(F.substring(name, 1, 10), F.lit("yyyy-MM-dd")), "slug": F.regexp_extract(name, r"^(?:\d{4}-\d{2}-\d{2}-)?(.*?)(?:\.[A-Za-z0-9]+)?$", 1), "run": F.nullif(F.regexp_extract(path, r"run-(\d+)", 1), F.lit("")).cast("int")}
+    return {"date": F.try_to_date(F.substring(name, 1, 10), "yyyy-MM-dd"), "slug": F.regexp_extract(name, r"^(?:\d{4}-\d{2}-\d{2}-)?(.*?)(?:\.[A-Za-z0-9]+)?$", 1), "run": F.nullif(F.regexp_extract(path, r"run-(\d+)", 1), F.lit("")).cast("int")}
 
 
 def visible(html: Column) -> Column:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from millrace.functions.text import path_fields
 
 
-def binary_files(spark: SparkSession, folder: str, glob: str = "*", empty: bool = False) -> DataFrame:
-    """``path``, ``length``, ``content`` of all files below a folder; empty ones only if asked for. The filter on the length is pushed to the listing."""
+def binary_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """``path``, ``length``, ``content`` of all files below a folder that aren't empty."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    return d if empty else d.where("length > 0")
+    return d.where("length > 0")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from millrace.operators.scoring import alerts
 from millrace.sources.files import load_list, save_list
 
-EVENT = "session string, seq bigint, type string, tool string, delta string"
+EVENT = "session string, seq bigint, type string, tool string, delta string, ts timestamp"
 
 
 def _step(state: tuple[str, str], kind: str, tool: str | None, delta: str | None) -> tuple[tuple[str, str], tuple[str, str] | None]:
@@ -32,7 +32,7 @@ def _step(state: tuple[str, str], kind: str, tool: str | None, delta: str | None
 
 def tool_calls_stream(events: DataFrame) -> DataFrame:
     """``session, tool, input`` of each finished tool call. State is kept by session: the name and the input so far; a session that is
-    silent for an hour of processing time is forgotten."""
+    silent for an hour of event time (``ts``) is forgotten."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -46,10 +46,11 @@ def tool_calls_stream(events: DataFrame) -> DataFrame:
             if done:
                 out.append((key[0], *done))
         state.update(now)
-        state.setTimeoutDuration(3_600_000)
+        seen = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + 3_600_000)
         yield pd.DataFrame(out, columns=["session", "tool", "input"])
 
-    return events.groupBy("session").applyInPandasWithState(run, "session string, tool string, input string", "name string, text string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", "10 minutes").groupBy("session").applyInPandasWithState(run, "session string, tool string, input string", "name string, text string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tool_calls(events: DataFrame) -> DataFrame:
