@@ -36,25 +36,28 @@ _VARIABLE = rf"(?<![^{_WHITE}])[^{_WHITE}0-9@]*+[0-9@][^{_WHITE}]*+"
 WILDCARD = "<*>"
 
 
-def template(line: Column) -> Column:
-    """The line with its variable tokens generalised."""
-    return F.regexp_replace(line, _VARIABLE, WILDCARD)
+def template(text: Column) -> Column:
+    """Lines with their variable tokens generalised. White space bounds tokens and isn't touched, so a whole text gives what its lines give."""
+    return F.when(F.regexp_like(text, F.lit("[0-9@]")), F.regexp_replace(text, _VARIABLE, WILDCARD)).otherwise(text)
 
 
-def _leaf(line: Column, least_tokens: int) -> Column:
-    """Two hashes of the path from the root to the template, the second negative for a template with a variable field; null for a short line."""
+def _count(line: Column) -> Column:
+    """Tokens of a line. A line whose only white space is single spaces needs no regular expression."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\v\f\r":
+        odd = odd | F.contains(line, F.lit(c))
+    t = F.trim(line)
+    return F.when(odd, F.regexp_count(line, F.lit(rf"[^{_WHITE}]+"))).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
 
-    def path(t: Column) -> Column:
-        n = F.regexp_count(t, F.lit(rf"[^{_WHITE}]+"))
-        lead = F.substring_index(t, " ", DEPTH)
-        sign = F.when(F.contains(t, F.lit(WILDCARD)), F.lit(True)).otherwise(F.lit(False))
-        return F.when(n >= least_tokens, F.struct(F.xxhash64(n, lead, t).alias("h"), F.hash(t, lead).alias("c"), sign.alias("v")))
 
-    return F.get(F.transform(F.array(template(line)), path), F.lit(0))
+def _leaf(t: Column, least_tokens: int) -> Column:
+    """Two hashes of the path from the root to the template, and whether it has a variable field; null for a short line."""
+    n, lead = _count(t), F.substring_index(t, " ", DEPTH)
+    return F.when(n >= least_tokens, F.struct(F.xxhash64(n, lead, t).alias("h"), F.hash(t, lead).alias("c"), F.contains(t, F.lit(WILDCARD)).alias("v")))
 
 
 def _leaves(text: Column, least_tokens: int) -> Column:
-    return F.transform(F.split(text, "\n"), lambda line: _leaf(line, least_tokens))
+    return F.transform(F.split(template(text), "\n"), lambda t: _leaf(t, least_tokens))
 
 
 def dropped_leaves(docs: DataFrame, id_col: str, text_col: str, least_tokens: int, least_docs: int, least_docs_variable: int) -> DataFrame:
@@ -73,10 +76,9 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, least_tokens: int, leas
     out = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")), "left")
     lines = F.split(docs[text_col], "\n")
 
-    def stays(line: Column) -> Column:
-        return F.coalesce(F.get(F.transform(F.array(_leaf(line, least_tokens)), lambda x: ~F.array_contains(F.col("__gone"), F.struct(x["h"].alias("h"), x["c"].alias("c"))) | x.isNull()), F.lit(0)), F.lit(True))
-
-    kept = F.when(F.col("__gone").isNull(), lines).otherwise(F.filter(lines, stays))
+    pairs = F.zip_with(lines, _leaves(docs[text_col], least_tokens), lambda line, leaf: F.struct(line.alias("line"), F.struct(leaf["h"].alias("h"), leaf["c"].alias("c")).alias("leaf")))
+    stay = F.transform(F.filter(pairs, lambda x: ~F.array_contains(F.col("__gone"), x["leaf"])), lambda x: x["line"])
+    kept = F.when(F.col("__gone").isNull(), lines).otherwise(stay)
     return out.withColumn("__lines", F.size(lines)).withColumn("__kept", kept).drop("__id")
 
 
