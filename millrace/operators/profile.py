@@ -123,3 +123,30 @@ def front_matter_problems(name: Column, description: Column, keys: Column) -> Co
         F.when(F.regexp_like(description, F.lit("[<>]")), "angle brackets"),
         F.when(F.length(description) > 1024, "description too long"),
     ))
+
+
+def drop_blank_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows in which at least one of the columns has a value; white space and zero-width characters alone are none."""
+    from millrace.functions.text import blank_to_null
+
+    kinds = dict(df.dtypes)
+    cols = columns or df.columns
+    return df.where(reduce(lambda a, b: a | b, [(blank_to_null(F.col(c)) if kinds[c] == "string" else F.col(c)).isNotNull() for c in cols]))
+
+
+def json_flatten(df: DataFrame, json: str, keys: dict[str, str]) -> DataFrame:
+    """One typed column for each key; a missing key, a null and a value of another type are null."""
+    get = lambda k: F.get_json_object(json, f"$['{k}']")
+    return df.select("*", *(get(k).try_cast(t).alias(k) for k, t in keys.items()))
+
+
+def json_short_keys(df: DataFrame, key: str, json: str) -> DataFrame:
+    """The corpus' keys in the order in which they are first seen, as K00, K01, ..."""
+    return json_key_order(df, key, json).select("key", F.concat(F.lit("K"), F.lpad(F.col("position").cast("string"), 2, "0")).alias("short"))
+
+
+def json_rename(df: DataFrame, key: str, json: str, names: DataFrame) -> DataFrame:
+    """(row, object with short keys): values stay as they are, as strings."""
+    p = json_pairs(df, key, json).join(names, "key")
+    g = p.groupBy("row").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("pos", "short", "value"))), lambda x: F.struct(x["short"], x["value"]))).alias("m"))
+    return g.select(F.col("row").alias(key), F.to_json("m").alias("renamed"))

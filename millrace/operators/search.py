@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +40,15 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     return scores.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), key))).where((F.col("rank") <= k) & (F.col("score") > 0))
 
 
+def multi_domain(domains: dict[str, DataFrame], queries: DataFrame, key: str, text: str, query: str = "query", k: int = 3) -> DataFrame:
+    """The k best of each query in each domain's own corpus, with the domain's name. A query may name its domains in ``domains`` (null: all)."""
+    parts = []
+    for name, docs in domains.items():
+        wanted = queries.where(F.col("domains").isNull() | F.array_contains("domains", F.lit(name))) if "domains" in queries.columns else queries
+        parts.append(bm25(docs, wanted.select(query), key, text, query, k).withColumn("domain", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def keyword_votes(text: Column, keywords: dict[str, list[str]]) -> Column:
     """(name, number of the keywords that the lower-cased text contains), in the order of the names."""
     low = F.lower(F.coalesce(text, F.lit("")))
