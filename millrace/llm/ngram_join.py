@@ -51,6 +51,8 @@ PARTITION_SHINGLES = 4_000_000
 FLUSH_SHINGLES = 2_000_000
 #: Rounds in which a shingle pairs its nodes with one of them only, before all pairs that are left.
 ROUNDS = 4
+#: Edges that a task of a step of ``connected`` reads at most on average.
+TASK_EDGES = 100_000
 _LOW = U((1 << 48) - 1)
 
 
@@ -265,8 +267,9 @@ def _verify(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
 def connected(links: DataFrame) -> DataFrame:
     """``node`` and ``label``, the smallest node of its component, of all nodes with links (a, b)."""
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while not edges.isEmpty():
+    n, before = edges.count(), None
+    while n:
+        edges = edges.coalesce(1 + n // TASK_EDGES)
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -276,7 +279,7 @@ def connected(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        n, before = now[0], now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
@@ -286,6 +289,14 @@ def _mixed(postings: DataFrame) -> DataFrame:
     return postings.join(several, "key")
 
 
+def _contracted(found: DataFrame) -> DataFrame:
+    """``label`` and ``to``, the smallest label within two links. That contracts a hub and all that link with it; longer paths are left to later rounds and to ``connected``."""
+    both = found.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*").distinct()
+    near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    far = both.join(near.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("to"))
+    return far.select(F.col("u").alias("label"), "to")
+
+
 def links(docs: DataFrame, text_col: str, total: int) -> DataFrame:
     """Edges (a, b) that connect exactly the nodes that links connect."""
     parts = max(1, -(-total // PARTITION_SHINGLES))
@@ -307,15 +318,15 @@ def links(docs: DataFrame, text_col: str, total: int) -> DataFrame:
         pairs = pairs.where(_may_link("p", "q")).select(F.struct("q.node", "q.label").alias("x"), F.struct("p.node", "p.label").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("label_a"), F.col("y.label").alias("label_b"))
-        found = connected(_verify(pairs, ordered))
-        edges.append(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        found = saved(_verify(pairs, ordered))
+        edges.append(found)
         if k == ROUNDS:
             break
         if found.isEmpty():
             k = ROUNDS  # nothing left to contract
             continue
         k += 1
-        named = current.join(found.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+        named = current.join(_contracted(found), "label", "left")
         current = saved(_mixed(named.withColumn("label", F.coalesce("to", "label")).drop("to")))
     return reduce(DataFrame.unionAll, edges) if edges else docs.sparkSession.createDataFrame([], "a bigint, b bigint")
 
