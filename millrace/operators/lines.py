@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.arrays import pieces
+
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each line, with its number from 0."""
@@ -49,19 +51,17 @@ def decode_references(encoded: DataFrame, dictionary: DataFrame, key: str = "doc
     return out.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
-def blocks(docs: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
+def blocks(docs: DataFrame, text: str, sizes: list[int]) -> DataFrame:
     """Non-overlapping blocks of each size; a shorter rest isn't a block."""
-    sized = docs.select(key, F.col(text).alias("__t"), F.explode(F.array(*map(F.lit, sizes))).alias("block_size"))
-    n = F.floor(F.char_length("__t") / F.col("block_size")).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return sized.withColumn("i", F.explode(at)).select(key, "block_size", F.expr("substring(__t, i * block_size + 1, block_size)").alias("block"))
+    sized = F.array(*(F.struct(F.lit(n).alias("block_size"), pieces(F.col(text), n).alias("b")) for n in sizes))
+    return docs.select(F.explode(sized).alias("s")).select("s.block_size", F.explode("s.b").alias("block"))
 
 
-def block_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", sizes: list[int] | None = None) -> DataFrame:
+def block_dedup(docs: DataFrame, text: str = "text", sizes: list[int] | None = None) -> DataFrame:
     """For each block size: distinct and repeated blocks and what a dictionary of them would save.
 
     Blocks are keyed by a 128-bit digest, so what is shuffled doesn't grow with the block size."""
-    b = blocks(docs, key, text, sizes or [16, 32, 64, 128, 256, 512, 1024]).select("block_size", F.md5("block").alias("digest"))
+    b = blocks(docs, text, sizes or [16, 32, 64, 128, 256, 512, 1024]).select("block_size", F.md5("block").alias("digest"))
     g = b.groupBy("block_size", "digest").agg(F.count("*").alias("n"))
     out = g.groupBy("block_size").agg(F.count("*").alias("uniq"), F.sum("n").alias("total"))
     return out.withColumn("dup", F.col("total") - F.col("uniq")).withColumn("saving", F.col("dup") * (F.col("block_size") - 4) - F.col("uniq") * F.col("block_size"))
@@ -84,18 +84,15 @@ def bigrams(docs: DataFrame, text: str = "text") -> DataFrame:
     return counts(pairs, "bigram")
 
 
-def substrings(docs: DataFrame, text: str, lengths: list[int], stride: Column | int = 1) -> DataFrame:
-    """All substrings of the given lengths, at every ``stride`` characters; n is their number of characters."""
-    sized = docs.select(F.col(text).alias("__t"), F.explode(F.array(*map(F.lit, lengths))).alias("n"))
-    last = F.char_length("__t") - F.col("n")
-    step = F.lit(stride) if isinstance(stride, int) else stride
-    at = F.when(last >= 0, F.sequence(F.lit(0), last, step.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return sized.withColumn("i", F.explode(at)).select("n", F.expr("substring(__t, i + 1, n)").alias("gram"))
+def substrings(docs: DataFrame, text: str, strides: dict[int, int]) -> DataFrame:
+    """All substrings of each length, at every so many characters."""
+    sized = F.array(*(F.struct(F.lit(n).alias("n"), pieces(F.col(text), n, k).alias("g")) for n, k in strides.items()))
+    return docs.select(F.explode(sized).alias("s")).select("s.n", F.explode("s.g").alias("gram"))
 
 
-def ngram_savings(docs: DataFrame, text: str = "text", lengths: list[int] | None = None, least: int = 3, most: int = 100, stride: Column | int = 1) -> DataFrame:
+def ngram_savings(docs: DataFrame, text: str = "text", lengths: list[int] | None = None, least: int = 3, most: int = 100) -> DataFrame:
     """Substrings by what a dictionary entry saves: cnt * (n - 2) - (n + 6); the best ``most``."""
-    c = counts(substrings(docs, text, lengths or list(range(3, 17)), stride), "gram").where(F.col("cnt") >= least)
+    c = counts(substrings(docs, text, dict.fromkeys(lengths or range(3, 17), 1)), "gram").where(F.col("cnt") >= least)
     n = F.char_length("gram")
     c = c.withColumn("saving", (F.col("cnt") * (n - 2) - (n + 6)).cast("bigint")).where("saving > 0")
     return c.orderBy(F.desc("saving"), "gram").limit(most)
@@ -103,8 +100,7 @@ def ngram_savings(docs: DataFrame, text: str = "text", lengths: list[int] | None
 
 def sampled_substrings(docs: DataFrame, text: str = "text", lengths: list[int] | None = None, most: int = 4000) -> DataFrame:
     """Long substrings at strides of a quarter of their length; the count is estimated as 1 + (k - 1) * stride."""
-    stride = F.greatest(F.lit(1), F.floor(F.col("n") / 4).cast("int"))
-    c = substrings(docs, text, lengths or [8, 16, 32, 64, 128], stride).groupBy("gram", "n").agg(F.count("*").alias("seen")).where("seen > 1")
+    c = substrings(docs, text, {n: max(1, n // 4) for n in lengths or [8, 16, 32, 64, 128]}).groupBy("gram", "n").agg(F.count("*").alias("seen")).where("seen > 1")
     c = c.withColumn("cnt", (1 + (F.col("seen") - 1) * F.greatest(F.lit(1), F.floor(F.col("n") / 4))).cast("bigint"))
     c = c.withColumn("saving", (F.col("cnt") * (F.col("n") - 3) - (F.col("n") + 6)).cast("bigint")).where("saving > 0")
     return c.orderBy(F.desc("saving"), "gram").limit(most)
@@ -112,14 +108,12 @@ def sampled_substrings(docs: DataFrame, text: str = "text", lengths: list[int] |
 
 def byte_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adjacent bytes: the counting step of byte-pair encoding."""
-    h = docs.select(F.hex(F.encode(F.col(text), "utf-8")).alias("h")).where("length(h) >= 4")
-    p = h.select(F.explode(F.transform(F.expr("sequence(0, cast(length(h) / 2 AS INT) - 2)"), lambda i: F.expr("h").substr(i * 2 + 1, F.lit(4)))).alias("p"))
+    p = docs.select(F.explode(pieces(F.hex(F.encode(F.col(text), "utf-8")), 4, 2)).alias("p"))
     return p.groupBy("p").agg(F.count("*").alias("cnt")).select(F.conv(F.substring("p", 1, 2), 16, 10).cast("int").alias("b0"), F.conv(F.substring("p", 3, 2), 16, 10).cast("int").alias("b1"), "cnt")
 
 
 def byte_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    h = docs.select(F.hex(F.encode(F.col(text), "utf-8")).alias("h")).where("h <> ''")
-    b = h.select(F.explode(F.transform(F.expr("sequence(0, cast(length(h) / 2 AS INT) - 1)"), lambda i: F.expr("h").substr(i * 2 + 1, F.lit(2)))).alias("b"))
+    b = docs.select(F.explode(pieces(F.hex(F.encode(F.col(text), "utf-8")), 2)).alias("b"))
     return b.groupBy("b").agg(F.count("*").alias("cnt")).select(F.conv("b", 16, 10).cast("int").alias("byte"), "cnt")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers as N
+from millrace.functions.arrays import byte_values
 
 from millrace.operators import profile as P
 from millrace.operators import sequences as S
@@ -171,9 +172,9 @@ def bwt_small(spark, sf_dir):
 @query("""WITH h AS (SELECT n_name AS name, list_transform(range(length(n_name)), lambda i: ascii(substr(n_name, i + 1, 1))) AS b FROM nation)
 SELECT name, list_transform(range(len(b)), lambda i: CAST(CASE WHEN i < 2 THEN b[i + 1] ELSE ((b[i + 1] - b[i - 1]) % 256 + 256) % 256 END AS INTEGER)) AS deltas, true AS ok FROM h""")
 def byte_delta(spark, sf_dir):
-    h = F.hex(F.encode("n_name", "utf-8"))
-    d = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), S.byte_delta(h, 2).alias("deltas"), S.byte_delta(h, 0).alias("raw"))
-    return d.select("name", "deltas", (S.undo_byte_delta(F.col("deltas"), 2) == F.expr("transform(sequence(1, length(name)), i -> ascii(substring(name, i, 1)))")).alias("ok"))
+    v = byte_values(F.encode("n_name", "utf-8"))
+    d = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), v.alias("raw"), S.byte_delta(v, 2).alias("deltas"))
+    return d.select("name", "deltas", (S.undo_byte_delta(F.col("deltas"), 2) == F.col("raw")).alias("ok"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x) + 1) AS w FROM documents),
@@ -186,7 +187,7 @@ def row_width(spark, sf_dir):
 
 @query("""SELECT item_id, list_aggregate(list_transform(range(length(t) // 8 * 8), lambda i: substr(t, (i % (length(t) // 8)) * 8 + i // (length(t) // 8) + 1, 1)), 'string_agg', '') || substr(t, length(t) // 8 * 8 + 1) AS moved FROM (SELECT item_id, text AS t FROM benchmark)""")
 def column_transpose(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", S.transpose(F.col("text"), F.lit(8)).alias("moved"))
+    return table(spark, sf_dir, "benchmark").select("item_id", S.transpose(F.col("text"), 8).alias("moved"))
 
 
 _RECORDS = "SELECT o_custkey, string_agg(printf('%08X%04X', o_orderkey, 7), '' ORDER BY o_orderkey) AS h FROM orders GROUP BY o_custkey"

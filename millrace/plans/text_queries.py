@@ -95,8 +95,7 @@ g AS (SELECT n, unnest(list_transform(range(0, length(text) - n + 1, greatest(1,
 c AS (SELECT gram, n, CAST(1 + (count(*) - 1) * greatest(1, n // 4) AS BIGINT) AS cnt, count(*) AS seen FROM g GROUP BY gram, n HAVING count(*) > 1)
 SELECT gram, n, seen, cnt, CAST(cnt * (n - 3) - (n + 6) AS BIGINT) AS saving FROM c WHERE cnt * (n - 3) - (n + 6) > 0 ORDER BY saving DESC, gram LIMIT 4000""")
 def global_substrings(spark, sf_dir):
-    d = L.sampled_substrings(table(spark, sf_dir, "documents"))
-    return d.withColumn("n", F.col("n").cast("int"))
+    return L.sampled_substrings(table(spark, sf_dir, "documents"))
 
 
 @query("""WITH h AS (SELECT hex(encode(text)) AS h FROM benchmark)
