@@ -78,6 +78,50 @@ SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
 FROM hits JOIN n USING (item_id) WHERE 100 * n_shared >= {decontaminate.THRESHOLD} * n_item"""
 
 
+def _spans_sql(pattern: str, kind: str, where: str = "true") -> str:
+    """r, start, end and text of all leftmost non-overlapping matches in ``d.t``: positions are lengths of what a split and an extraction give."""
+    return f"""SELECT r, '{kind}' AS kind, s, s + length(m) AS e, m FROM (SELECT r, m[i] AS m,
+  CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM (SELECT r, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d))) WHERE {where}"""
+
+
+def _op2_sql() -> str:
+    x = secret_scan
+    assign = x.ASSIGN.replace("'", "''")
+    encoding = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p, _ in x.ENCODINGS)
+    alphabet = " ".join(f"WHEN '{n}' THEN '{a}'" for n, _, a in x.ENCODINGS)
+    rank = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(x.KINDS))
+    pairs = "range(1, CAST(n AS BIGINT))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_spans_sql(assign, "assign", f"length(regexp_extract(m, '{assign}', 2)) >= {x.ASSIGN_LEAST}")}
+  UNION ALL {_spans_sql(x.ACCESS, "access")} UNION ALL {_spans_sql(x.HEX, "hex")}),
+run AS ({_spans_sql("[A-Za-z0-9+/_-]{20,}={0,2}", "random", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')")}),
+enc AS (SELECT *, CASE {encoding} END AS enc FROM (SELECT *, rtrim(m, '=') AS t FROM run)),
+chars AS (SELECT *, CASE enc {alphabet} END AS alpha, length(t)::DOUBLE AS n, list_filter(string_split(t, ''), lambda c: c <> '') AS c FROM enc WHERE enc IS NOT NULL),
+codes AS (SELECT *, length(alpha)::DOUBLE AS k, list_transform(c, lambda y: instr(alpha, y) - 1) AS x,
+  list_transform(c, lambda y: CASE WHEN y BETWEEN 'a' AND 'z' THEN 1 WHEN y BETWEEN 'A' AND 'Z' THEN 2 WHEN y BETWEEN '0' AND '9' THEN 3 ELSE 4 END) AS kinds FROM chars),
+sums AS (SELECT *, list_sum(list_transform(list_distinct(c), lambda y: pow(len(list_filter(c, lambda w: w = y)), 2))) AS squares,
+  coalesce(list_sum(list_transform({pairs}, lambda i: CASE WHEN (x[i] * 2 >= k) <> (x[i + 1] * 2 >= k) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)), 0) AS above,
+  list_sum(list_transform(x, lambda a: (a - (k - 1) / 2) * (a - (k - 1) / 2))) AS spread,
+  list_sum(list_transform({pairs}, lambda i: (x[i] - (k - 1) / 2) * (x[i + 1] - (k - 1) / 2))) AS products,
+  list_sum(list_transform({pairs}, lambda i: CASE WHEN kinds[i] <> kinds[i + 1] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS changes FROM codes),
+tests AS (SELECT *, (squares * k / n - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS chi, (above - (n - 1) / 2) / sqrt((n - 1) / 4) AS runs, (products / spread + 1 / n) * sqrt(n) AS serial,
+  (changes - 0.5::DOUBLE - (n - 1) * {x.SWITCH}::DOUBLE) / sqrt((n - 1) * {x.SWITCH}::DOUBLE * (1 - {x.SWITCH}::DOUBLE)) AS z, enc || CASE WHEN n < 32 THEN ':20' WHEN n < 48 THEN ':32' WHEN n < 80 THEN ':48' ELSE ':80' END AS stratum FROM sums),
+u AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * z) AS q FROM tests),
+bins AS (SELECT *, CAST(CASE WHEN z > 0 THEN least({x.BINS}, floor(((z * z / 2 + 0.9189385332046727::DOUBLE) / 2.302585092994046::DOUBLE
+  - log10(q * (0.319381530::DOUBLE + q * (-0.356563782::DOUBLE + q * (1.781477937::DOUBLE + q * (-1.821255978::DOUBLE + q * 1.330274429::DOUBLE)))))) * 10)) ELSE 0 END AS INTEGER) AS bin FROM u),
+counts AS (SELECT stratum, bin, count(*) AS c FROM bins GROUP BY ALL),
+ranked AS (SELECT stratum, bin, sum(c) OVER (PARTITION BY stratum ORDER BY bin DESC) AS rank, sum(c) OVER (PARTITION BY stratum) AS m FROM counts),
+least_bin AS (SELECT stratum, min(bin) AS least FROM ranked WHERE pow(10.0::DOUBLE, -bin / 10) <= {x.RATE}::DOUBLE * rank / m GROUP BY stratum),
+added AS (SELECT r, kind, s, e FROM bins JOIN least_bin USING (stratum) WHERE bin >= least AND abs(chi) < {x.REJECT} AND abs(runs) < {x.REJECT} AND abs(serial) < {x.REJECT}),
+spans AS (SELECT r, kind, s, e, CASE kind {rank} END AS k FROM (SELECT r, kind, s, e FROM base UNION ALL FROM added)),
+g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'random') AS n_random,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (kind <> 'random') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_random, 0) AS n_random
+FROM d LEFT JOIN g USING (r)"""
+
+
 def _op3_sql() -> str:
     rules = ", ".join(f"('{v}', '{r}', '{r.split('/')[0]}', '{r[r.index('/'):]}')" for v, r in url_filters.RULES)
     patterns = " OR ".join(f"regexp_matches(host || path, '{p}')" for _, _, p, size, _ in url_filters.compile_rules([], url_filters.PATTERNS) if not size)
@@ -121,6 +165,7 @@ SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _op1_sql(),
+    "op2_secret_scan": _op2_sql(),
     "op3_url_filters": _op3_sql(),
     "op7_ngram_join": _op7_sql(),
     "op9_line_dedup": _op9_sql(),

@@ -26,13 +26,14 @@ columns are ignored. Texts are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.arrays import let, matches
+
 #: Base kinds in order, their patterns and least sizes.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 or more characters: its matches are whole runs
@@ -57,43 +58,6 @@ REJECT = 3.29  # z of 0.001, two-sided
 SWITCH = 0.25
 RATE = 0.05
 BINS = 300
-_CHUNK = 64
-
-
-def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """``fn`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
-
-
-def _starts(lengths: Column) -> Column:
-    """The sum of all lengths before each, in chunks: the work is linear but for one term of n * n / _CHUNK ** 2."""
-
-    def both(s: Column) -> Column:
-        v, n = s["v"], F.size(s["v"])
-        chunks = F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int"))
-        sums = F.transform(chunks, lambda c: _sum(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK))))
-        bases = _let(sums, lambda t: F.aggregate(t, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
-        return _let(bases, lambda b: F.transform(v, lambda _, i: F.get(b, F.floor(i / _CHUNK).cast("int")) + _sum(F.slice(v, F.floor(i / _CHUNK).cast("int") * _CHUNK + 1, i % _CHUNK))))
-
-    return F.when(F.size(lengths) > 0, _let(F.struct(lengths.alias("v")), both)).otherwise(F.array().cast("array<int>"))
-
-
-def matches(text: Column, pattern: str) -> Column:
-    """start, end (code points) and text of all leftmost non-overlapping matches."""
-    p = F.lit(pattern)
-
-    def spans(s: Column) -> Column:
-        pair = F.transform(s["m"], lambda m, i: F.char_length(F.get(s["gap"], i)) + F.char_length(m))
-        ends = _let(pair, lambda q: F.zip_with(_starts(q), q, lambda a, b: a + b))
-        return F.zip_with(ends, s["m"], lambda e, m: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("m")))
-
-    found = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.split(text, pattern).alias("gap"))
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    return F.when(F.regexp_like(text, p), _let(found, spans)).otherwise(none)
 
 
 def _kind(spans: Column, name: str) -> Column:
@@ -143,7 +107,7 @@ def battery(token: Column) -> Column:
         return F.struct(stratum.alias("stratum"), chi.alias("chi"), runs.alias("runs"), serial.alias("serial"), z.alias("z"), _bin(z).alias("bin"))
 
     first = F.struct(F.rtrim(token, F.lit("=")).alias("t"), which.alias("e"), F.try_element_at(alphabets, which).alias("a"))
-    return _let(_let(_let(first, parts), codes), tests)
+    return let(let(let(first, parts), codes), tests)
 
 
 def _bin(z: Column) -> Column:
