@@ -69,6 +69,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names; only where the session names none, a temporary one."""
     context = spark.sparkContext
     if named := spark.conf.get("spark.checkpoint.dir", None):
+        if not context.getCheckpointDir():  # named after the session began
+            context.setCheckpointDir(named)
         return named
     if not context.getCheckpointDir():
         context.setCheckpointDir(tempfile.mkdtemp())
