@@ -5,8 +5,8 @@ work and the attention within the piece. Each task tokenises its texts, collects
 about ``POOL_TOKENS`` tokens, cuts what exceeds a sequence, opens as many sequences as their tokens
 fill, and gives the pieces in descending order to the sequence of the lowest cost with room for
 them. What fits nowhere whole is cut into the room that is left, so that all sequences of a pool
-are full; the rest that fills none goes on to the next pool. Only a task's last sequence can be
-padded. No row is shuffled: the packing depends on the input's partitions alone and a task
+are full; the rest that fills none goes on to the next pool. What is left at the end of a task, less than a sequence, becomes sequences
+whose lengths are powers of two, which need no padding. No row is shuffled: the packing depends on the input's partitions alone and a task
 that runs again gives the same sequences.
 
 Defined results: a null or empty text has the single id that ends a document; null, repeated ids
@@ -56,7 +56,7 @@ def cuts(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int]]:
 
 
 def assign(pieces: list[tuple[int, int, int]], length: int = LENGTH, last: bool = False) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-    """Sequences of pieces, all full, and the pieces left over (``last``: they make one more sequence).
+    """Sequences of pieces, all full, and the pieces left over (``last``: none, they make sequences of powers of two).
 
     Descending pieces go to the sequence of least cost that has room: sequences of equal room lie in
     one heap by cost, and the best of the heaps with enough room is taken. Ties go to the lower number."""
@@ -102,12 +102,29 @@ def assign(pieces: list[tuple[int, int, int]], length: int = LENGTH, last: bool
             room[i], s, n = room[i] - take, s + take, n - take
             if not room[i]:
                 i = next(open_, None)
-    if last and rest:
-        filled.append(rest)
+    if last:
+        filled += tail(rest)
         rest = []
     return filled, rest
 
 
+def tail(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Sequences whose lengths are the powers of two in the pieces' total, largest first, so that none needs padding."""
+    total, out, left = sum(p[2] for p in pieces), [], list(reversed(pieces))
+    for bit in reversed(range(total.bit_length())):
+        room = total & (1 << bit)
+        if room:
+            out.append([])
+        while room:
+            d, s, n = left.pop()
+            take = min(n, room)
+            out[-1].append((d, s, take))
+            room -= take
+            if take < n:
+                left.append((d, s + take, n - take))
+    return out
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, ranks_path: str | None = None) -> DataFrame:
     """One row for each piece: where it lies in its document and in its sequence."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -445,15 +445,15 @@ def check_packing(pieces, rows, tokenizer):
         for p in sorted(ps, key=lambda p: p.offset):
             assert p.offset == at
             at += p.length
-        assert at <= packing.LENGTH
+        assert at == packing.LENGTH or at < packing.LENGTH and at & (at - 1) == 0  # no padding anywhere
     return by_seq
 
 
 def test_packing_is_a_partition_of_all_tokens(spark, docs, rows):
     pieces = packing.pack(docs).collect()
     seqs = check_packing(pieces, rows, reference_encoder())
-    total = sum(p.length for p in pieces)
-    assert len(seqs) * packing.LENGTH - total < docs.rdd.getNumPartitions() * packing.LENGTH
+    short = [s for s in seqs.values() if sum(p.length for p in s) < packing.LENGTH]
+    assert len(short) <= 11 * docs.rdd.getNumPartitions()
 
 
 def test_packing_of_hard_rows(spark, monkeypatch, empty):
