@@ -42,13 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.tables import map_texts, saved
-from millrace.llm.wordhash import WHITE, U, Words, shingles, slices
+from millrace.llm.wordhash import WHITE, U, Words, release_memory, shingles, slices
 
 THRESHOLD = 75
 SHINGLE = 5
 #: Shingles in a partition of the exchanges; the number of partitions follows from it.
-PARTITION_SHINGLES = 4_000_000
-FLUSH_SHINGLES = 2_000_000
+PARTITION_SHINGLES = 2_000_000
+FLUSH_SHINGLES = 1_000_000
 #: Rounds in which a shingle pairs its nodes with one of them only, before all pairs that are left.
 ROUNDS = 4
 #: Edges that a task of a step of ``connected`` reads at most on average.
@@ -85,7 +85,7 @@ def _pack(nodes, sizes, counts, *arrays) -> bytes:
     return b"".join([np.int64(len(nodes)).tobytes(), nodes.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), *(x.tobytes() for x in arrays)])
 
 
-def _unpack(block: bytes, *kinds: str) -> tuple:
+def _unpack(block: pa.Buffer, *kinds: str) -> tuple:
     n = int(np.frombuffer(block, "<i8", 1)[0])
     nodes, sizes, counts = np.frombuffer(block, "<i8", n, 8), np.frombuffer(block, "<u4", n, 8 + 8 * n), np.frombuffer(block, "<u4", n, 8 + 12 * n)
     at, total, out = 8 + 16 * n, int(counts.sum()), []
@@ -114,7 +114,7 @@ def _send(texts: DataFrame, parts: int) -> DataFrame:
 
         def flush():
             size = np.array([len(s) for s in sets])
-            h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
             part = ((h >> U(32)) * U(parts) >> U(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             low = h[order] & _LOW
@@ -124,6 +124,7 @@ def _send(texts: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(p, type=pa.int32()), pa.array(b, type=pa.binary())], names=["part", "block"])
             sets.clear()
             nodes.clear()
+            release_memory()
 
         held = 0
         for batch in batches:
@@ -149,27 +150,33 @@ def _shared(blocks: DataFrame, parts: int) -> DataFrame:
     """The shingles of two or more nodes with their frequencies, packed by partition of the node."""
 
     def fn(key, table):
-        got = [_unpack(b.as_py(), "<u2", "<u4") for b in table["block"]]
-        nodes = np.concatenate([g[0] for g in got])
-        low = np.concatenate([(g[3].astype(U) << U(32)) | g[4] for g in got])
+        got = [_unpack(b.as_buffer(), "<u2", "<u4") for b in table["block"]]
+        nodes, counts = np.concatenate([g[0] for g in got]), np.concatenate([g[2] for g in got])
         unique, first, inverse = np.unique(nodes, return_index=True, return_inverse=True)
         sizes = np.concatenate([g[1] for g in got])[first]
-        owner = np.repeat(inverse, np.concatenate([g[2] for g in got])).astype(np.int32)
+        # several tasks may send one node: its keys count once
+        once = np.zeros(len(nodes), dtype=bool)
+        once[first] = True
+        low = np.concatenate([(g[3].astype(U) << U(32)) | g[4] for g in got])
         del got
-        order = np.lexsort((owner, low))
-        low, owner = low[order], owner[order]
-        fresh = np.ones(len(low), dtype=bool)
-        fresh[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
-        low, owner = low[fresh], owner[fresh]
-        start = np.flatnonzero(np.diff(low, prepend=low[0] + U(1)))
-        many = np.repeat(np.diff(np.append(start, len(low))), np.diff(np.append(start, len(low))))
+        if not once.all():
+            low = low[np.repeat(once, counts)]
+        order = np.argsort(low)
+        low = low[order]
+        owner = np.repeat(inverse[once].astype(np.int32), counts[once])[order]
+        del order
+        start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        each = np.diff(np.append(start, len(low)))
+        many = np.repeat(np.minimum(each, 65535).astype("<u2"), each)
         keep = many > 1
-        low, owner, many = low[keep], owner[keep], np.minimum(many[keep], 65535).astype("<u2")
+        low, owner, many = low[keep], owner[keep], many[keep]
         bucket = (unique.astype(U) % U(parts)).astype(np.int64)
         order = np.lexsort((owner, bucket[owner]))
         owner = owner[order]
         full = (low[order] + (U(key[0].as_py()) << U(48))).astype("<u8")
         p, b = zip(*_emit(bucket[owner], owner, unique, sizes, [full, many[order]]), strict=True) if len(owner) else ((), ())
+        del low, owner, many, full, order
+        release_memory()
         return pa.table({"part": pa.array(p, type=pa.int32()), "block": pa.array(b, type=pa.binary())})
 
     return blocks.groupBy("part").applyInArrow(fn, "part int, block binary")
@@ -179,7 +186,7 @@ def _ordered(blocks: DataFrame) -> DataFrame:
     """``node``, its set's ``size``, the number of ``posted`` shingles and its shared shingles (``keys``) in the global order, of nodes with a posted one."""
 
     def fn(key, table):
-        got = [_unpack(b.as_py(), "<u8", "<u2") for b in table["block"]]
+        got = [_unpack(b.as_buffer(), "<u8", "<u2") for b in table["block"]]
         counts = np.concatenate([g[2] for g in got])
         owner = np.repeat(np.concatenate([g[0] for g in got]), counts)
         size = np.repeat(np.concatenate([g[1] for g in got]), counts).astype(np.int64)

@@ -12,12 +12,18 @@ every process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _libc = ctypes.CDLL(None)
+except (OSError, TypeError):  # no C library by that way
+    _libc = None
+
 SLICE_BYTES = 1 << 20
 U = np.uint64
 
@@ -60,6 +66,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system. Workers are used again by later tasks, so what an allocator keeps adds up on an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Words:
     """Words of a slice of texts: ``start`` and ``end`` (byte offsets in ``raw``), ``hash``; words of text i are ``first[i]:first[i + 1]``."""
 
