@@ -76,6 +76,6 @@ def multi_domain_search(spark, sf_dir):
     return S.multi_domain(domains, spark.createDataFrame([("the with and",), ("steel brass",)], "query string"), "id", "text")
 
 
-@query("SELECT doc_id, CASE WHEN regexp_replace(substr(text, 1, 2), '[\\s ​]+', '', 'g') = '' THEN NULL ELSE substr(text, 1, 2) END AS head FROM documents")
-def blank_heads(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.blank_to_null(F.substring("text", 1, 2)).alias("head"))
+@query("SELECT doc_id, regexp_replace(text, '[\\s ​]+', '', 'g') = '' AS blank FROM documents")
+def blank_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.blank_to_null(F.col("text")).isNull().alias("blank"))

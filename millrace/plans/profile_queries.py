@@ -69,9 +69,9 @@ def column_profile_all_values(spark, sf_dir):
     return P.column_types(_lineitem(spark, sf_dir), _COLUMNS, enum_least=20, enum_share=5, dates=False)
 
 
-@query(r"""SELECT doc_id, coalesce(trim(substr(text, 1, 4)), '') = '' OR regexp_matches(trim(substr(text, 1, 4)), '^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$') AS numeric_head FROM documents""")
+@query(r"""SELECT doc_id, coalesce(trim(text), '') = '' OR regexp_matches(trim(text), '^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$') AS is_number FROM documents""")
 def numeric_test(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", P.is_numeric(F.substring("text", 1, 4)).alias("numeric_head"))
+    return table(spark, sf_dir, "documents").select("doc_id", P.is_numeric(F.col("text")).alias("is_number"))
 
 
 @query(r"""SELECT doc_id, len(list_filter(string_split(string_split(text, chr(10))[1], ','), lambda f: NOT regexp_matches(trim(f), '^[\p{L}_]+$'))) = 0 AS header FROM documents""")

@@ -155,10 +155,10 @@ def majority_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(X.majority_language(F.regexp_like("text", F.lit(X.CJK))).alias("language"))
 
 
-@query("SELECT lang, greatest(8.0, least(28.0, round(max(length(substr(text, 1, 20)) + 0.7 * len(regexp_extract_all(substr(text, 1, 20), '" + X.WIDE + "'))) + 2, 1)))::DOUBLE AS width FROM documents GROUP BY lang")
+@query("SELECT p_brand, greatest(8.0, least(28.0, round(max(length(p_name) + 0.7 * len(regexp_extract_all(p_name, '" + X.WIDE + "'))) + 2, 1)))::DOUBLE AS width FROM part GROUP BY p_brand")
 def column_widths(spark, sf_dir):
-    w = F.max(X.display_width(F.substring("text", 1, 20)))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.greatest(F.lit(8.0), F.least(F.lit(28.0), F.round(w + 2, 1))).cast("double").alias("width"))
+    w = F.max(X.display_width(F.col("p_name")))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.greatest(F.lit(8.0), F.least(F.lit(28.0), F.round(w + 2, 1))).cast("double").alias("width"))
 
 
 @query(r"SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS visible_chars FROM pages")
