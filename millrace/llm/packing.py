@@ -58,8 +58,8 @@ def cuts(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int]]:
 def assign(pieces: list[tuple[int, int, int]], length: int = LENGTH, last: bool = False) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """Sequences of pieces, all full, and the pieces left over (``last``: none, they make sequences of powers of two).
 
-    Descending pieces go to the sequence of least cost that has room: sequences of equal room lie in
-    one heap by cost, and the best of the heaps with enough room is taken. Ties go to the lower number."""
+    Descending pieces go to the sequence of least cost that has room: sequences with room for the piece lie
+    in one heap by cost, the others wait in one by room until a piece is small enough. Ties go to the lower number."""
     total = sum(p[2] for p in pieces)
     count = total // length
     order = sorted(pieces, key=lambda p: (-p[2], p[0], p[1]))
@@ -73,23 +73,21 @@ def assign(pieces: list[tuple[int, int, int]], length: int = LENGTH, last: bool
         room[k] = 0
         k += 1
     heap = heap[k:]
+    wait: list[tuple[int, float, int]] = []
     for p in order[k:]:
-        aside = []
-        while heap and room[heap[0][1]] < p[2]:
-            aside.append(heapq.heappop(heap))
-            if len(aside) >= 64:
-                break
-        if heap and room[heap[0][1]] >= p[2]:
-            _, i = heapq.heappop(heap)
-            filled[i].append(p)
-            room[i] -= p[2]
-            spent[i] += cost(p[2])
-            if room[i]:
-                heapq.heappush(heap, (spent[i], i))
-        else:
+        while wait and -wait[0][0] >= p[2]:
+            heapq.heappush(heap, heapq.heappop(wait)[1:])
+        if not heap:
             later.append(p)
-        for x in aside:
-            heapq.heappush(heap, x)
+            continue
+        _, i = heapq.heappop(heap)
+        filled[i].append(p)
+        room[i] -= p[2]
+        spent[i] += cost(p[2])
+        if room[i] >= p[2]:
+            heapq.heappush(heap, (spent[i], i))
+        elif room[i]:
+            heapq.heappush(wait, (-room[i], spent[i], i))
     open_ = iter([i for i in range(count) if room[i]])
     i, rest = next(open_, None), []
     for d, s, n in later:

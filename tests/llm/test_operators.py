@@ -481,6 +481,21 @@ def test_assignment_balances_cost():
     assert np.std(costs) < np.std(plain)
 
 
+def test_assignment_takes_the_cheapest_of_all_sequences_with_room():
+    rng = np.random.Generator(np.random.PCG64(11))
+    pieces = packing.cuts([int(x) for x in rng.lognormal(6.3, 1.1, 900)])
+    full, _ = packing.assign(pieces)
+    count = sum(n for *_, n in pieces) // packing.LENGTH
+    whole, room, spent = [[] for _ in range(count)], [packing.LENGTH] * count, [0.0] * count
+    for p in sorted(pieces, key=lambda p: (-p[2], p[0], p[1])):
+        i = min((i for i in range(count) if room[i] >= p[2]), key=lambda i: (spent[i], i), default=None)
+        if i is not None:
+            whole[i].append(p)
+            room[i] -= p[2]
+            spent[i] += packing.cost(p[2])
+    assert count > 200 and [s[: len(w)] for s, w in zip(full, whole, strict=True)] == whole
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80))
 def test_encoders_agree(text):
