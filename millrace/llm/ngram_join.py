@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.tables import map_texts, saved
+from millrace.llm.tables import add_columns, map_texts, saved
 from millrace.llm.wordhash import WHITE, U, Words, release_memory, shingles, slices
 
 THRESHOLD = 75
@@ -65,16 +65,19 @@ def _digest(s: np.ndarray) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``n_shingles`` and the digest (two longs, null for an empty set) of each document's set."""
+_DIGEST = "{0}n_shingles bigint, {0}node bigint, {0}check bigint"
+
 
-    def fn(raw, offsets):
-        sets = _sets(raw, offsets)
-        size = np.array([len(s) for s in sets], dtype=np.int64)
-        both = np.array([_digest(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-        return [size, pa.array(both[:, 0], mask=size == 0), pa.array(both[:, 1], mask=size == 0)]
+def _digests(raw, offsets) -> list:
+    sets = _sets(raw, offsets)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    both = np.array([_digest(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+    return [size, pa.array(both[:, 0], mask=size == 0), pa.array(both[:, 1], mask=size == 0)]
 
-    return map_texts(docs, id_col, text_col, fn, "n_shingles bigint, node bigint, check bigint")
+
+def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``n_shingles`` and the digest (two longs, null for an empty set) of each document's set."""
+    return map_texts(docs, id_col, text_col, _digests, _DIGEST.format(""))
 
 
 # A packed block: number of nodes, nodes (8 bytes), set sizes (4), numbers of keys (4), then the keys of all nodes
@@ -338,8 +341,8 @@ def links(docs: DataFrame, text_col: str, total: int) -> DataFrame:
     return reduce(DataFrame.unionAll, edges) if edges else docs.sparkSession.createDataFrame([], "a bigint, b bigint")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``n_shingles`` and ``component_id``, the smallest id of its component, of each document."""
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``__id``, ``n_shingles``, the digest and ``component_id``, the smallest id of its component, of each document."""
     rows = saved(digests(docs, id_col, text_col).withColumnRenamed(id_col, "__id"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     sets = rows.where("node is not null").groupBy("node", "check").agg(F.min("__id").alias("least"))
@@ -351,11 +354,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         named = labelled.join(smallest, "label").select("node", "check", "smallest")
         sets = sets.join(named, ["node", "check"], "left").select("node", "check", F.coalesce("smallest", "least").alias("least"))
     out = rows.join(sets, ["node", "check"], "left")
-    return out.select(F.col("__id").alias(id_col), "n_shingles", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("least")).alias("component_id"))
+    return out.select("__id", "n_shingles", "node", "check", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``n_shingles`` and ``component_id``, the smallest id of its component, of each document."""
+    return _named(docs, id_col, text_col).select(F.col("__id").alias(id_col), "n_shingles", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id, with all its columns. Rows without an id or without a word stay; of repeated ids all rows stay or go."""
-    found = components(docs, id_col, text_col)
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """One document of each component, that with the smallest id, with all its columns. Rows without an id or without a word stay; of repeated ids each row stays or goes by its own component."""
+    found = _named(docs, id_col, text_col)
+    gone = found.where(F.col("component_id") != F.col("__id")).select(F.col("__id").alias("__gone"), F.col("node").alias("__n"), F.col("check").alias("__c")).distinct()
+    rows = add_columns(docs, text_col, _digests, _DIGEST.format("__"))
+    return rows.join(gone, (rows[id_col] == F.col("__gone")) & (F.col("__node") == F.col("__n")) & (F.col("__check") == F.col("__c")), "left_anti").select(*docs.columns)

@@ -392,6 +392,12 @@ def test_ngram_join_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id for r in left.collect()), key=str) == [2, 4, 5, 9, None, None]
 
 
+def test_ngram_join_keeps_the_clean_rows_of_a_repeated_id(spark):
+    every = [(1, "a b c d e f"), (7, "a b c d e f"), (7, "a text of one repeated id"), (7, ""), (7, None), (8, "another text of its own id"), (8, "a b c d e f")]
+    left = ngram_join.representatives(H.frame(spark, every))
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(1, "a b c d e f"), (7, "a text of one repeated id"), (7, ""), (7, None), (8, "another text of its own id")])
+
+
 def test_ngram_join_of_nothing(spark, empty):
     assert ngram_join.components(empty).count() == 0
     blank = H.frame(spark, [(1, ""), (2, None)])
