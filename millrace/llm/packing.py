@@ -4,12 +4,13 @@ A piece of n tokens costs ``LINEAR * n + QUADRATIC * n * n``: the linear part of
 work and the attention within the piece. Each task tokenises its texts, collects the documents of
 about ``POOL_TOKENS`` tokens, cuts what exceeds a sequence, opens as many sequences as their tokens
 fill, and gives the pieces in descending order to the sequence of the lowest cost with room for
-them. What fits nowhere whole is cut into the room that is left, so that all sequences of a pool
+them. What fits nowhere whole is cut into the room that is left, the cheapest open sequence first, so that all sequences of a pool
 are full; the rest that fills none goes on to the next pool. What is left at the end of a task, less than a sequence, becomes sequences
 whose lengths are powers of two, which need no padding. No row is shuffled: the packing depends on the input's partitions alone and a task
 that runs again gives the same sequences.
 
-Defined results: a null or empty text has the single id that ends a document; null, repeated ids
+Defined results: a null or empty text has the single id that ends a document; the literal ``<|endoftext|>``
+in a text is the vocabulary's special id 50256, as the ``tokenizers`` library gives it with add_special_tokens=False; null, repeated ids
 and equal texts are packed row by row; an empty table gives no pieces; extra columns are ignored.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +39,22 @@ def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
 
+#: Fixed value: the vocabulary's one special token. Its string in a text is that id.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 def encoder(ranks_path: str | None = None):
-    """Encodes text to ids of the byte-level BPE of 50,257 ids.
+    """A function from text to ids of the byte-level BPE of 50,257 ids.
 
     Its merge ranks run in tiktoken, which is about six times as fast as the ``tokenizers`` library on the same
-    vocabulary. tests/llm hold the ids of both equal for every code point and on random texts."""
+    vocabulary. tests/llm hold the ids of both equal for every code point, around the special token and on random texts."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return partial(encoding.encode, allowed_special="all")
 
 
 def cuts(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int]]:
@@ -59,7 +66,8 @@ def assign(pieces: list[tuple[int, int, int]], length: int = LENGTH, last: bool
     """Sequences of pieces, all full, and the pieces left over (``last``: none, they make sequences of powers of two).
 
     Descending pieces go to the sequence of least cost that has room: sequences with room for the piece lie
-    in one heap by cost, the others wait in one by room until a piece is small enough. Ties go to the lower number."""
+    in one heap by cost, the others wait in one by room until a piece is small enough. Pieces that then fit nowhere whole are
+    cut into the open sequence of least cost, one after the other. Ties go to the lower number."""
     total = sum(p[2] for p in pieces)
     count = total // length
     order = sorted(pieces, key=lambda p: (-p[2], p[0], p[1]))
@@ -88,18 +96,19 @@ def assign(pieces: list[tuple[int, int, int]], length: int = LENGTH, last: bool
             heapq.heappush(heap, (spent[i], i))
         elif room[i]:
             heapq.heappush(wait, (-room[i], spent[i], i))
-    open_ = iter([i for i in range(count) if room[i]])
-    i, rest = next(open_, None), []
+    open_, rest = [(spent[i], i) for i in range(count) if room[i]], []
+    heapq.heapify(open_)
     for d, s, n in later:
-        while n:
-            if i is None:
-                rest.append((d, s, n))
-                break
+        while n and open_:
+            _, i = heapq.heappop(open_)
             take = min(n, room[i])
             filled[i].append((d, s, take))
             room[i], s, n = room[i] - take, s + take, n - take
-            if not room[i]:
-                i = next(open_, None)
+            spent[i] += cost(take)
+            if room[i]:
+                heapq.heappush(open_, (spent[i], i))
+        if n:
+            rest.append((d, s, n))
     if last:
         filled += tail(rest)
         rest = []
@@ -129,7 +138,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     schema = f"`{id_col}` {kind}, {FIELDS}"
 
     def run(batches):
-        encode = encoder(ranks_path).encode_ordinary
+        encode = encoder(ranks_path)
         number = TaskContext.get().partitionId() << 40
         held: list[tuple[object, np.ndarray, int]] = []  # id, tokens from the first that isn't packed yet, how many were before
         pool = 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -66,17 +67,25 @@ def add_columns(df: DataFrame, text_col: str, fn: Callable[[np.ndarray, np.ndarr
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; only where the session names none, a temporary one."""
+    """The shared folder that spark.checkpoint.dir names. Where the session names none, a local run takes a temporary one; a cluster can't, since its executors don't share it."""
     context = spark.sparkContext
     if named := spark.conf.get("spark.checkpoint.dir", None):
         if not context.getCheckpointDir():  # named after the session began
             context.setCheckpointDir(named)
         return named
     if not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp())
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the file system that its path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there, so that its lineage ends."""
     checkpoint_folder(df.sparkSession)
