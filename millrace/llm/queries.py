@@ -150,16 +150,27 @@ FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id"""
 
 def _op9_sql() -> str:
     w = r"\x20\x09-\x0D"
-    variable = rf"(^|[{w}])[^{w}0-9@]*[0-9@][^{w}]*"
     x = line_templates
+    last = f"(n - {x.DEPTH} + 1) // 2"
+    path = "concat_ws(' ', n, {})"
+    leaves = [
+        ("array_to_string(t, ' ')", "true"),
+        ("array_to_string(m, ' ')", f"list_contains(list_transform(m, lambda y: contains(y, '{x.WILDCARD}')), true)"),
+        (path.format(f"array_to_string(m[{x.DEPTH} + 1:], ' ')"), f"n - {x.DEPTH} >= {x.LEAST_CONSTANT}"),
+        (path.format(f"array_to_string(m[:{x.DEPTH}], ' '), '', array_to_string(m[n - {last} + 1:], ' ')"), f"{x.DEPTH} + {last} >= {x.LEAST_CONSTANT}"),
+        (path.format(f"array_to_string(m[:n - {last}], ' ')"), f"n - {last} >= {x.LEAST_CONSTANT}"),
+    ]
+    every = " UNION ALL ".join(f"SELECT r, doc_id, i, {k} AS kind, {key} AS key FROM long_ WHERE {where}" for k, (key, where) in enumerate(leaves))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT r, doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d),
-t AS (SELECT *, regexp_replace(line, '{variable}', '\1<*>', 'g') AS tpl, len(regexp_extract_all(line, '[^{w}]+')) AS n_tokens FROM l),
-c AS (SELECT tpl, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM t WHERE n_tokens >= {x.LEAST_TOKENS} GROUP BY tpl
-  HAVING n >= CASE WHEN contains(tpl, '<*>') THEN {x.LEAST_DOCS_VARIABLE} ELSE {x.LEAST_DOCS} END),
-k AS (SELECT t.r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
-  FROM (SELECT t.*, c.tpl IS NOT NULL AND t.n_tokens >= {x.LEAST_TOKENS} AND t.doc_id IS DISTINCT FROM c.first AS gone FROM t LEFT JOIN c USING (tpl)) t GROUP BY t.r)
+long_ AS (SELECT r, doc_id, i, t, len(t) AS n, list_transform(t, lambda y: CASE WHEN regexp_matches(y, '[0-9@]') THEN '{x.WILDCARD}' ELSE y END) AS m
+  FROM (SELECT *, regexp_extract_all(line, '[^{w}]+') AS t FROM l) WHERE len(t) >= {x.LEAST_TOKENS}),
+leaf AS ({every}),
+c AS (SELECT kind, key, min(doc_id) AS first FROM leaf GROUP BY kind, key HAVING count(DISTINCT doc_id) >= CASE WHEN kind = 0 THEN {x.LEAST_DOCS} ELSE {x.LEAST_DOCS_VARIABLE} END),
+gone AS (SELECT DISTINCT r, i FROM leaf JOIN c USING (kind, key) WHERE doc_id IS DISTINCT FROM first),
+k AS (SELECT r, count(*) AS n_lines, count(gone.i) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone.i IS NULL), '') AS text
+  FROM l LEFT JOIN gone USING (r, i) GROUP BY r)
 SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped, k.text AS text FROM d LEFT JOIN k USING (r)"""
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -90,3 +91,13 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there, so that its lineage ends."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read from there; the files go when the session's JVM ends. Smaller than a checkpoint, and its columns can be read apart."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/table-{uuid4()}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)

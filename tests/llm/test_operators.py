@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, licenses, line_templates, ngram_join, packing, quality_classifier, quality_rules, queries, secret_scan, toxicity, url_filters
+from millrace.llm import bitmaps, decontaminate, licenses, line_templates, ngram_join, packing, quality_classifier, quality_rules, queries, secret_scan, toxicity, url_filters
 from tests.conftest import SMALL
 from tests.llm import helpers as H
 
@@ -556,26 +556,64 @@ def test_encoders_agree_on_every_code_point():
 # ---- 9 -------------------------------------------------------------------------------------------
 
 
-def plain_dedup(rows):
-    mask = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*")
+def plain_leaves(line):
+    """(kind, path) of each leaf of a line."""
+    t = H.WHITE.findall(line)
+    m = ["<*>" if re.search("[0-9@]", x) else x for x in t]
+    n, last = len(t), (len(t) - 1) // 2
+    if n < 5:
+        return []
+    wild = [(2, None, *m[2:]), (3, *m[:2], None, *m[n - last :]), (4, *m[: n - last], None)]
+    return [(0, *t), *([(1, *m)] if any("<*>" in x for x in m) else []), *((n, *p) for p in wild if sum(x is not None for x in p[1:]) >= 5)]
 
-    def leaf(line):
-        return mask.sub("<*>", line) if len(H.WHITE.findall(line)) >= 5 else None
 
-    seen = defaultdict(set)
+def plain_lost(rows, whole=None):
+    """The positions that each row loses."""
+    ids, totals = defaultdict(set), defaultdict(lambda: 10**9)
     for k, t in rows:
-        for line in (t or "").split("\n") if t is not None else []:
-            if leaf(line) is not None:
-                seen[leaf(line)].add(k)
-    first = {}
-    for t, ids in seen.items():
-        if len(ids) >= (5 if "<*>" in t else 2):
-            first[t] = min(x for x in ids if x is not None)
-    out = Counter()
+        long_ = [n for line in (t or "").split("\n") if (n := len(H.WHITE.findall(line))) >= 5]
+        if long_:
+            totals[k] = min(totals[k], sum(long_))
+        for line in t.split("\n") if t is not None else []:
+            for leaf in plain_leaves(line):
+                ids[leaf].add(k)
+    first = {leaf: min(x for x in v if x is not None) for leaf, v in ids.items() if len(v) >= 2}
+    out = []
     for k, t in rows:
         lines = t.split("\n") if t is not None else []
-        kept = [x for x in lines if leaf(x) not in first or leaf(x) is None or first[leaf(x)] == k]
-        out[k, len(lines), len(lines) - len(kept), None if t is None else "\n".join(kept)] += 1
+        longs = [(line, len(H.WHITE.findall(line))) for line in lines]
+        longs = [(line, n) for line, n in longs if n >= 5]
+        sharing = Counter()
+        for line, n in longs:
+            for f in {first[x] for x in plain_leaves(line) if x in first}:
+                sharing[f] += n
+        sharing.pop(k, None)
+        total = sum(n for _, n in longs)
+        best = max(((n, f) for f, n in sharing.items() if whole is not None and n >= whole * max(total, totals[f])), default=(0, None))
+        main = best[1]
+        often = [{first[x] for x in plain_leaves(line) if len(ids[x]) >= (2 if x[0] == 0 else 5)} for line in lines]
+        out.append({i for i, f in enumerate(often) if f - {k, main}})
+    return out
+
+
+def plain_dedup(rows):
+    out = Counter()
+    for (k, t), gone in zip(rows, plain_lost(rows), strict=True):
+        lines = t.split("\n") if t is not None else []
+        out[k, len(lines), len(gone), None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)] += 1
+    return out
+
+
+def plain_keep(rows):
+    out = Counter()
+    for (k, t), gone in zip(rows, plain_lost(rows, 0.5), strict=True):
+        if gone:
+            left = [x for i, x in enumerate(t.split("\n")) if i not in gone]
+            n = sum(len(H.WHITE.findall(x)) for x in left)
+            if not n or n < 0.1 * len(H.WHITE.findall(t)):
+                continue
+            t = "\n".join(left)
+        out[k, t] += 1
     return out
 
 
@@ -584,15 +622,39 @@ LINES = ["this line recurs in many documents", "Page 3 of 40 was printed at 10:0
 
 def test_line_dedup_equals_plain_python(spark, rows):
     made = [(6000 + i, "\n".join([f"own line number {i} with words", LINES[0], LINES[1].replace("3", str(i)), LINES[2], *LINES[3:], LINES[0]])) for i in range(7)]
+    made += [(6100 + i, f"User {name} logged in from office building\nown words of number {i} go here\nThe value of the {name} thing was seen by all of us") for i, name in enumerate(["anna", "berta", "carl", "dora", "emil", "fritz", "gerd"])]
+    made += [(6200 + i, "A passage of many words that cost 12 euros stands here") for i in range(2)]  # verbatim, with a field
     every = rows + H.HARD + made + [(None, LINES[0]), (7000, LINES[3].replace("\t", " ")), (6000, LINES[0])]
     got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_templates.dedup(H.frame(spark, every)).collect())
     assert got == plain_dedup(every)
+    left = {k: t for k, _, _, t in got if k is not None and 6100 <= k < 6300}
+    assert all("logged" not in left[6100 + i] and "value" not in left[6100 + i] for i in range(1, 7)) and "User anna logged" in left[6100] and left[6201] == ""
+
+
+def test_line_dedup_keeps_copies_whole(spark, rows, monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(17))
+    source = [" ".join(rng.choice(VOCABULARY, 12)) for _ in range(8)]
+    common = " ".join(rng.choice(VOCABULARY, 60))
+    made = [(8000, "\n".join(source)), (8001, "\n".join([*source[:7], "the last line of it differs here"])), (8002, "\n".join([*source, common]))]
+    made += [(8010 + i, f"{common}\n{' '.join(rng.choice(VOCABULARY, 80))}") for i in range(4)] + [(8020, source[0] + "\n" + common), (8021, common + "\nshort rest"), (None, "\n".join(source))]
+    every = rows + H.HARD + made
+    got = Counter((r.doc_id, r.text) for r in line_templates.keep(H.frame(spark, every)).collect())
+    assert got == plain_keep(every)
+    assert got[made[0]] and got[made[1]] and got[made[2]] and not any(k == 8021 for k, _ in got)
+    monkeypatch.setattr(bitmaps, "BITS", bitmaps.BLOCK)  # a bitmap that lets many others pass gives the same
+    assert got == Counter((r.doc_id, r.text) for r in line_templates.keep(H.frame(spark, every)).collect())
+
+
+def test_line_dedup_of_a_long_text_that_loses_many_lines(spark):
+    lines = [f"this is the line of {a}{b}{c} and more" for a in VOCABULARY[:30] for b in VOCABULARY[:30] for c in VOCABULARY[:10]]
+    got = {r.doc_id: r for r in line_templates.dedup(H.frame(spark, [(1, "\n".join(lines)), (2, "\n".join(["own", *lines, "more of it"]))])).collect()}
+    assert got[1].n_dropped == 0 and got[2].n_dropped == len(lines) and got[2].text == "own\nmore of it"
 
 
 def test_line_dedup_keeps_columns_and_drops_what_is_left_empty(spark):
     every = [(1, LINES[0]), (2, LINES[0]), (3, LINES[0] + "\nand something of its own here"), (4, ""), (5, None), (None, LINES[0])]
     d = H.frame(spark, every)
-    left = line_templates.keep(d)
+    left = line_templates.keep(d, whole=None)
     assert left.columns == d.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, LINES[0]), (3, "and something of its own here"), (4, ""), (5, None)], key=str)
 

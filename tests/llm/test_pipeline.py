@@ -6,7 +6,7 @@ import corpus_pipeline
 from millrace.llm import packing
 from tests.conftest import SMALL
 from tests.llm import helpers as H
-from tests.llm.test_operators import check_packing, contained, plain_dedup, reference_encoder
+from tests.llm.test_operators import check_packing, contained, plain_keep, reference_encoder
 
 
 def test_stages_follow_each_other(spark, tmp_path):
@@ -29,8 +29,7 @@ def test_stages_follow_each_other(spark, tmp_path):
     assert sum((k in kept) != bool(q) for k, q in labels.items()) <= 0.05 * len(labels)
 
     lines = step("line dedup", judged)
-    want = Counter({(k, t): n for (k, _, gone, t), n in plain_dedup(pairs(judged)).items() if not gone or H.WHITE.search(t)})
-    assert lines.columns == docs.columns and Counter(pairs(lines)) == want
+    assert lines.columns == docs.columns and Counter(pairs(lines)) == plain_keep(pairs(judged))
 
     unique = step("n-gram Jaccard join", lines)
     best = {k for k, n, c in H.components(pairs(lines)) if k == c or not n}
