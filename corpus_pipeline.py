@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 written as Parquet and read again as the next one's ``docs``. All but the last return the columns of ``docs``.
 
 1. quality classifier: documents that it rejects go.
-2. line dedup: recurring lines go but for one copy; a document with nothing left goes.
+2. line dedup: recurring lines go but for one copy, except what a document shares with the one that it copies in the main, so
+   that stage 3 still sees near copies whole; a document with hardly anything left goes.
 3. n-gram Jaccard join: of each group of near copies the document with the smallest id stays.
 4. benchmark decontamination: documents that contain a test item go.
 5. packing: what is left becomes sequences of tokens.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_templates, ngram_join, packing, quality_classifier
-from millrace.llm.tables import checkpoint_folder, table
+from millrace.llm.tables import checkpoint_folder, remove, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between two stages is written to the shared folder."""
+    """All stages over ``documents``; what lies between two stages is written to the shared folder and removed when the next stage is written.
+
+    The last stage's input stays, since the result reads it."""
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid4()}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
@@ -65,4 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
     return docs
