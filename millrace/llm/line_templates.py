@@ -21,7 +21,7 @@ lines go, as they go from the source. A document that loses lines and keeps less
 
 Rows of (document, line, leaf) are written once. Their leaves are counted with partial sums in each task; leaves of one document
 fall away against a bitmap of fixed size before the next shuffle, and in the end only documents that may lose a
-line are shuffled with their texts. Everything is DataFrame functions.
+line are shuffled with their texts: the others are read once more and go straight to the result. Everything is DataFrame functions.
 
 Defined results: a null text stays null and has no lines, an empty text has one; documents without an
 id count as one document whose lines are never the ones to stay; rows with the same id are one document
@@ -74,40 +74,40 @@ def _part(line: Column, n: Column) -> Column:
     return F.call_function("substring_index", line, F.lit(" "), n)
 
 
-def _leaves(s: Column) -> Column:
-    """The leaves (hash, whether something is generalised) of a line ``t``, masked ``m``, of n tokens."""
-    t, m, n = s["t"], s["m"], s["n"]
+def _leaves(t: Column, m: Column, n: Column) -> Column:
+    """The leaves (hash, whether something is generalised) of a line ``t``, masked ``m``, of n tokens; null for those that it doesn't have."""
     end = F.floor((n - DEPTH + 1) / 2).cast("int")  # tokens of the last level
     leaf = lambda v, *path: F.struct(F.xxhash64(*path).alias("h"), F.lit(v).alias("v"))
     enough = lambda constant, x: F.when(constant >= LEAST_CONSTANT, x)
-    return F.array_compact(F.array(
+    return F.array(
         leaf(False, F.lit(0), t),
         F.when(F.contains(m, F.lit(WILDCARD)), leaf(True, F.lit(1), m)),
         enough(n - DEPTH, leaf(True, F.lit(2), n, _part(m, DEPTH - n))),
         enough(DEPTH + end, leaf(True, F.lit(3), n, _part(m, F.lit(DEPTH)), _part(m, -end))),
         enough(n - end, leaf(True, F.lit(4), n, _part(m, n - end))),
-    ))
+    )
 
 
-def seen(docs: DataFrame, id_col: str, text_col: str, least_tokens: int) -> DataFrame:
-    """A row for each line and leaf: ``id``, ``r`` (hash of id and text), ``pos`` of the line, ``n``, its tokens, ``total``, those of all long lines of the document, ``h`` and ``v`` of the leaf."""
+def seen(docs: DataFrame, id_col: str, text_col: str, least_tokens: int, totals: bool = False) -> DataFrame:
+    """A row for each line and leaf: ``id``, ``r`` (hash of id and text), ``pos`` of the line, ``n``, its tokens, ``total``, those of the document (``totals``: else null), ``h`` and ``v`` of the leaf."""
     text = F.col(text_col).cast("string")
-    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text).alias("r"), _plain(text).alias("t"))
-    d = d.select("id", "r", F.split("t", "\n").alias("t"), F.split(template(F.col("t")), "\n").alias("m"))
-    lines = F.transform(F.arrays_zip("t", "m"), lambda x, i: let(F.struct(F.trim(x["t"]).alias("t"), F.trim(x["m"]).alias("m")), lambda y: F.struct(i.alias("pos"), y["t"].alias("t"), y["m"].alias("m"), _count(y["t"]).alias("n"))))
-    d = d.select("id", "r", F.filter(lines, lambda x: x["n"] >= least_tokens).alias("lines"))
-    d = d.select("id", "r", F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"]).alias("total"), "lines")  # before the next step, or each of its rows would carry all lines
-    d = d.select("id", "r", "total", F.explode("lines").alias("x"))
-    return d.select("id", "r", "x.pos", "x.n", "total", F.explode(_leaves(F.col("x"))).alias("leaf")).select("id", "r", "pos", "n", "total", "leaf.*")
-
-
-def shared(rows: DataFrame) -> DataFrame:
-    """The rows of leaves that two or more documents have, with the smallest id (``first``) and how many tokens that one has in long lines."""
-    least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "total")))
-    counted = rows.groupBy("h").agg(least.alias("least"), F.max("id").alias("last"), F.max(F.isnull("id")).alias("none"))
-    counted = counted.select("h", F.col("least.id").alias("first"), F.col("least.total").alias("first_total"), "last", "none")
-    several = written(counted.where((F.col("first") != F.col("last")) | F.col("none") & F.col("first").isNotNull()).select("h", "first", "first_total"))
+    total = F.regexp_count(text, F.lit(rf"[^{_WHITE}]+")) if totals else F.lit(None).cast("int")
+    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text).alias("r"), total.alias("total"), _plain(text).alias("t"))
+    d = d.select("id", "r", "total", F.split("t", "\n").alias("t"), F.split(template(F.col("t")), "\n").alias("m"))
+    d = d.select("id", "r", "total", F.posexplode(F.arrays_zip("t", "m")).alias("pos", "x"))
+    d = d.select("id", "r", "total", "pos", F.trim("x.t").alias("t"), F.trim("x.m").alias("m")).withColumn("n", _count(F.col("t"))).where(F.col("n") >= least_tokens)
+    d = d.select("id", "r", "pos", "n", "total", F.explode(_leaves(F.col("t"), F.col("m"), F.col("n"))).alias("leaf"))
+    return d.where("leaf is not null").select("id", "r", "pos", "n", "total", "leaf.*")
+
+
+def shared(rows: DataFrame, totals: bool = False) -> DataFrame:
+    """The rows of leaves that two or more documents have, with the smallest id (``first``) and, with ``totals``, how many tokens that one has."""
+    keys = rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.isnull("id")).alias("none"))
+    several = written(keys.where((F.col("first") != F.col("last")) | F.col("none") & F.col("first").isNotNull()).select("h", "first"))
     maybe = maybe_in(rows, F.col("h"), bitmap(several, "h")).where("__maybe").drop("__maybe")
+    if totals:
+        own = rows.groupBy(F.col("id").alias("first")).agg(F.min("total").alias("first_total"))
+        several = written(several.join(own, "first"))
     return written(maybe.join(several, "h"))
 
 
@@ -121,7 +121,7 @@ def _copies(rows: DataFrame, whole: float) -> DataFrame:
 
 def lost_lines(docs: DataFrame, id_col: str, text_col: str, least_tokens: int, least_docs: int, least_docs_variable: int, whole: float | None) -> DataFrame:
     """``__id``, ``__r`` and ``__gone``, the positions of the lines that a document loses."""
-    rows = shared(written(seen(docs, id_col, text_col, least_tokens)))
+    rows = shared(written(seen(docs, id_col, text_col, least_tokens, whole is not None)), whole is not None)
     counted = rows.groupBy("h", "v").agg((F.count_distinct("id") + F.max(F.isnull("id").cast("int"))).alias("docs"))
     often = written(counted.where(F.col("docs") >= F.when(F.col("v"), least_docs_variable).otherwise(least_docs)).select("h"))
     lost = rows.where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "r", "pos", "h", "first").join(often, "h", "left_semi")

@@ -571,9 +571,8 @@ def plain_lost(rows, whole=None):
     """The positions that each row loses."""
     ids, totals = defaultdict(set), defaultdict(lambda: 10**9)
     for k, t in rows:
-        long_ = [n for line in (t or "").split("\n") if (n := len(H.WHITE.findall(line))) >= 5]
-        if long_:
-            totals[k] = min(totals[k], sum(long_))
+        if any(plain_leaves(line) for line in (t or "").split("\n")):
+            totals[k] = min(totals[k], len(H.WHITE.findall(t)))
         for line in t.split("\n") if t is not None else []:
             for leaf in plain_leaves(line):
                 ids[leaf].add(k)
@@ -588,7 +587,7 @@ def plain_lost(rows, whole=None):
             for f in {first[x] for x in plain_leaves(line) if x in first}:
                 sharing[f] += n
         sharing.pop(k, None)
-        total = sum(n for _, n in longs)
+        total = len(H.WHITE.findall(t or ""))
         best = max(((n, f) for f, n in sharing.items() if whole is not None and n >= whole * max(total, totals[f])), default=(0, None))
         main = best[1]
         often = [{first[x] for x in plain_leaves(line) if len(ids[x]) >= (2 if x[0] == 0 else 5)} for line in lines]
