@@ -89,6 +89,7 @@ def _op2_sql() -> str:
     x = secret_scan
     assign = x.ASSIGN.replace("'", "''")
     encoding = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p, _ in x.ENCODINGS)
+    null = [" ".join(f"WHEN '{n}' THEN {v[i]}::DOUBLE" for n, v in x.NULL.items()) for i in range(3)]
     alphabet = " ".join(f"WHEN '{n}' THEN '{a}'" for n, _, a in x.ENCODINGS)
     rank = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(x.KINDS))
     pairs = "range(1, CAST(n AS BIGINT))"
@@ -96,18 +97,18 @@ def _op2_sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_spans_sql(assign, "assign", f"length(regexp_extract(m, '{assign}', 2)) >= {x.ASSIGN_LEAST}")}
   UNION ALL {_spans_sql(x.ACCESS, "access")} UNION ALL {_spans_sql(x.HEX, "hex")}),
-run AS ({_spans_sql("[A-Za-z0-9+/_-]{20,}={0,2}", "random", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')")}),
+run AS ({_spans_sql("[A-Za-z0-9+/_-]{20,}={0,2}", "random", "regexp_matches(m, '[A-Za-z]')")}),
 enc AS (SELECT *, CASE {encoding} END AS enc FROM (SELECT *, rtrim(m, '=') AS t FROM run)),
 chars AS (SELECT *, CASE enc {alphabet} END AS alpha, length(t)::DOUBLE AS n, list_filter(string_split(t, ''), lambda c: c <> '') AS c FROM enc WHERE enc IS NOT NULL),
 codes AS (SELECT *, length(alpha)::DOUBLE AS k, list_transform(c, lambda y: instr(alpha, y) - 1) AS x,
-  list_transform(c, lambda y: CASE WHEN y BETWEEN 'a' AND 'z' THEN 1 WHEN y BETWEEN 'A' AND 'Z' THEN 2 WHEN y BETWEEN '0' AND '9' THEN 3 ELSE 4 END) AS kinds FROM chars),
+  CASE enc {null[0]} END AS equal, CASE enc {null[1]} END AS crossing, CASE enc {null[2]} END AS rho, n * (n - 1) / 2 AS pairs FROM chars),
 sums AS (SELECT *, list_sum(list_transform(list_distinct(c), lambda y: pow(len(list_filter(c, lambda w: w = y)), 2))) AS squares,
   coalesce(list_sum(list_transform({pairs}, lambda i: CASE WHEN (x[i] * 2 >= k) <> (x[i + 1] * 2 >= k) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)), 0) AS above,
   list_sum(list_transform(x, lambda a: (a - (k - 1) / 2) * (a - (k - 1) / 2))) AS spread,
-  list_sum(list_transform({pairs}, lambda i: (x[i] - (k - 1) / 2) * (x[i + 1] - (k - 1) / 2))) AS products,
-  list_sum(list_transform({pairs}, lambda i: CASE WHEN kinds[i] <> kinds[i + 1] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS changes FROM codes),
+  list_sum(list_transform({pairs}, lambda i: (x[i] - (k - 1) / 2) * (x[i + 1] - (k - 1) / 2))) AS products FROM codes),
 tests AS (SELECT *, (squares * k / n - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS chi, (above - (n - 1) / 2) / sqrt((n - 1) / 4) AS runs, (products / spread + 1 / n) * sqrt(n) AS serial,
-  (changes - 0.5::DOUBLE - (n - 1) * {x.SWITCH}::DOUBLE) / sqrt((n - 1) * {x.SWITCH}::DOUBLE * (1 - {x.SWITCH}::DOUBLE)) AS z, enc || CASE WHEN n < 32 THEN ':20' WHEN n < 48 THEN ':32' WHEN n < 80 THEN ':48' ELSE ':80' END AS stratum FROM sums),
+  ((equal * pairs - (squares - n) / 2) / sqrt(equal * (1 - equal) * pairs + 2 * pairs * (n - 2) * {x.TRIPLES}::DOUBLE) + (above - (n - 1) * crossing) / sqrt((n - 1) * crossing * (1 - crossing))
+    + (rho - products / spread) * sqrt(n)) / {x.COMBINED}::DOUBLE AS z, enc || CASE WHEN n < 32 THEN ':20' WHEN n < 48 THEN ':32' WHEN n < 80 THEN ':48' ELSE ':80' END AS stratum FROM sums),
 u AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * z) AS q FROM tests),
 bins AS (SELECT *, CAST(CASE WHEN z > 0 THEN least({x.BINS}, floor(((z * z / 2 + 0.9189385332046727::DOUBLE) / 2.302585092994046::DOUBLE
   - log10(q * (0.319381530::DOUBLE + q * (-0.356563782::DOUBLE + q * (1.781477937::DOUBLE + q * (-1.821255978::DOUBLE + q * 1.330274429::DOUBLE)))))) * 10)) ELSE 0 END AS INTEGER) AS bin FROM u),

@@ -2,15 +2,15 @@
 
 Base patterns are matched leftmost and without overlap, each kind on its own; matches that are too short
 are dropped. The method then looks at every run of 20 or more characters of the usual encodings
-that has both a letter and a digit:
+that has a letter:
 
 1. Encoding: the smallest alphabet (hexadecimal, base 32, base 36, base 62, base 64) that holds the run.
 2. Battery: is the run what a uniform source over that alphabet gives? Chi-squared of the symbol
    counts, number of runs above and below the middle of the alphabet, serial correlation of neighbours. A run that
    fails a test at REJECT is not random.
-3. False discoveries: the null hypothesis is an identifier made of words and numbers, whose kind of
-   character (upper, lower, digit, other) changes with at most SWITCH at a place. The number of changes gives a p-value;
-   it falls with the length. In each stratum (encoding and length class) Benjamini-Hochberg over all
+3. False discoveries: the null hypothesis is an identifier made of words and numbers (NULL: what the three statistics are
+   for such a one, by encoding). Each statistic's distance from that, in standard deviations of a run of this length, gives a z; their sum over
+   COMBINED (they are correlated) gives a p-value. In each stratum (encoding and length class) Benjamini-Hochberg over all
    runs of the corpus bounds the share of false discoveries by RATE. p-values are binned (rounded up to
    a tenth of a power of ten), so the corpus-wide step is a small grouped aggregation whose size is
    bounded by strata times bins; its thresholds come back as a scalar subquery.
@@ -41,7 +41,8 @@ HEX = r"[0-9a-f]{32,}"  # [0-9a-f]+ of 32 or more characters: likewise
 ASSIGN_LEAST = 8
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+_LONG = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"  # without it a text has neither candidates nor hex matches
 _DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: name, pattern, alphabet; the first that fits counts.
 ENCODINGS = [
@@ -55,7 +56,20 @@ ENCODINGS = [
     ("base64url", r"^[0-9A-Za-z_-]+$", _UP + _LOW + _DIGITS + "-_"),
 ]
 REJECT = 3.29  # z of 0.001, two-sided
-SWITCH = 0.25
+#: Identifiers, by encoding: the chance that two symbols are equal, that two neighbours lie on both sides of the middle, and the
+#: serial correlation. Measured on names joined from English words and numbers in several styles; on hexadecimal ones, mostly digits.
+NULL = {
+    "hex": (0.085, 0.40, 0.25),
+    "HEX": (0.085, 0.40, 0.25),
+    "base32": (0.058, 0.42, 0.27),
+    "base36": (0.054, 0.48, 0.15),
+    "BASE36": (0.045, 0.45, 0.25),
+    "base62": (0.042, 0.25, 0.45),
+    "base64": (0.050, 0.41, 0.30),
+    "base64url": (0.050, 0.38, 0.28),
+}
+TRIPLES = 0.0008  # by how much three equal symbols are likelier than two pairs of them
+COMBINED = 2.0  # standard deviation of the sum of the three z; the square root of three if they were independent
 RATE = 0.05
 BINS = 300
 
@@ -70,14 +84,11 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["rank"]), x["start"], x["end"])), ",")
 
 
-def _kind_of_character(c: Column) -> Column:
-    return F.when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).when(c.between("0", "9"), 3).otherwise(4)
-
-
 def battery(token: Column) -> Column:
-    """stratum, chi, runs, serial (z values; small ones look random) and p, binned (``bin``: tenths of -log10 p), of a run."""
+    """stratum, chi, runs, serial (z values against a uniform source; small ones look random), z (against identifiers; a large one looks random) and its p-value, binned (``bin``: tenths of -log10 p), of a run."""
     which = reduce(lambda w, e: F.when(F.regexp_like(e[1], F.lit(e[0][1])), F.lit(e[0][0])) if w is None else w.when(F.regexp_like(e[1], F.lit(e[0][1])), F.lit(e[0][0])), [(x, token) for x in ENCODINGS], None)
     alphabets = F.create_map(*(F.lit(v) for name, _, a in ENCODINGS for v in (name, a)))
+    identifiers = F.create_map(*(v for name, x in NULL.items() for v in (F.lit(name), F.array(*map(F.lit, x)))))
 
     def parts(s: Column) -> Column:
         chars = F.filter(F.split(s["t"], ""), lambda c: c != "")
@@ -100,9 +111,13 @@ def battery(token: Column) -> Column:
         runs = (above - (n - 1) / 2) / F.sqrt((n - 1) / 4)
         m = (k - 1) / 2
         spread = total(F.transform(s["x"], lambda a: (a - m) * (a - m)))
-        serial = (total(neighbours(s["x"], lambda a, b: (a - m) * (b - m))) / spread + 1 / n) * F.sqrt(n)
-        changes = total(neighbours(F.transform(s["c"], _kind_of_character), lambda a, b: (a != b).cast("double")))
-        z = (changes - 0.5 - (n - 1) * SWITCH) / F.sqrt((n - 1) * SWITCH * (1 - SWITCH))
+        correlation = total(neighbours(s["x"], lambda a, b: (a - m) * (b - m))) / spread
+        serial = (correlation + 1 / n) * F.sqrt(n)
+        equal, cross, rho = (F.try_element_at(F.try_element_at(identifiers, s["e"]), F.lit(i)) for i in (1, 2, 3))
+        pairs = n * (n - 1) / 2
+        z_chi = (equal * pairs - (squares - n) / 2) / F.sqrt(equal * (1 - equal) * pairs + 2 * pairs * (n - 2) * TRIPLES)
+        z_runs = (above - (n - 1) * cross) / F.sqrt((n - 1) * cross * (1 - cross))
+        z = (z_chi + z_runs + (rho - correlation) * F.sqrt(n)) / COMBINED
         stratum = F.concat(s["e"], F.when(n < 32, ":20").when(n < 48, ":32").when(n < 80, ":48").otherwise(":80"))
         return F.struct(stratum.alias("stratum"), chi.alias("chi"), runs.alias("runs"), serial.alias("serial"), z.alias("z"), _bin(z).alias("bin"))
 
@@ -120,9 +135,14 @@ def _bin(z: Column) -> Column:
     return F.when(z > 0, F.least(F.lit(BINS), F.floor(log10 * 10))).otherwise(0).cast("int")
 
 
+def _if(test: Column, found: Column) -> Column:
+    """The matches of a pattern, which is only searched for where a cheaper test doesn't rule it out."""
+    return F.when(test, found).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>"))
+
+
 def _candidates(text: Column) -> Column:
     """start, end and battery of the runs that have an encoding and pass all tests of randomness."""
-    spans = F.transform(matches(text, CANDIDATE), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["m"]).alias("b")))
+    spans = F.transform(_if(F.regexp_like(text, F.lit(_LONG)), matches(text, CANDIDATE)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["m"]).alias("b")))
     random = lambda b: (F.abs(b["runs"]) < REJECT) & (F.abs(b["serial"]) < REJECT) & (F.abs(b["chi"]) < REJECT)
     return F.filter(spans, lambda x: x["b"]["stratum"].isNotNull() & random(x["b"]))
 
@@ -145,10 +165,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), least.alias("__least"))
     long_enough = lambda x: F.char_length(F.regexp_extract(x["m"], ASSIGN, 2)) >= ASSIGN_LEAST
+    t = F.col("__text")
     d = d.withColumns({
-        "__assign": F.filter(matches(F.col("__text"), ASSIGN), long_enough),
-        "__access": matches(F.col("__text"), ACCESS),
-        "__hex": matches(F.col("__text"), HEX),
+        "__assign": F.filter(_if(F.contains(t, F.lit(":")) | F.contains(t, F.lit("=")), matches(t, ASSIGN)), long_enough),
+        "__access": _if(F.contains(t, F.lit("AKIA")), matches(t, ACCESS)),
+        "__hex": _if(F.regexp_like(t, F.lit(_LONG)), matches(t, HEX)),
         "__random": F.filter(_candidates(F.col("__text")), lambda x: x["b"]["bin"] >= F.try_element_at(F.col("__least"), x["b"]["stratum"])),
     })
     d = d.withColumn("__base", F.concat(*(_kind(F.col(f"__{k}"), k) for k in KINDS[:3])))
