@@ -3,16 +3,15 @@
 A rule is a host and a path prefix (``net/``, ``example.org/es/``) or a pattern with ``*`` for any
 characters. Its literal tokens are the runs of letters, digits and ``_`` in it that separators or
 the rule's ends close on both sides. One pass over the urls counts those tokens that occur in
-rules; each rule is filed under its rarest one. A url looks its own tokens up in the index, and
+rules; each rule is filed under its rarest one. The tokens of the distinct urls (host and path) are joined with the filed rules, and
 only the rules found there run their regular expression. A rule without such a token is filed under the empty token,
 which every url has.
 
-The index is a map from token to rules, built by a grouped aggregation and read as a scalar
-subquery. Rules come in blocks of at most BLOCK_RULES, one map each, so that a map's size is bounded however many
-rules there are; urls go through the blocks in the same row, without a join or a shuffle.
+The join is a hash join, so a token costs one look-up however many rules there are; rules of at most BROADCAST_BYTES
+are sent to all tasks, more are shuffled. What fits a distinct url is combined there, written, and joined back to its rows.
 
-Verdicts: of the prefix rules that fit, the longest wins. Without one, the url is blocked if a
-pattern rule fits, else allowed.
+Verdicts: of the prefix rules that fit, the longest wins; of several of one length the one that sorts last, and a rule that is
+listed with both verdicts blocks. Without a prefix rule, the url is blocked if a pattern rule fits, else allowed.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is
 allowed; null or repeated ids are judged row by row; an empty table gives an empty result; extra
@@ -22,18 +21,20 @@ columns are ignored. Everything is DataFrame functions.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.tables import written
+
 #: Prefix rules (verdict, rule).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 #: Pattern rules that block: over the lower-cased host and the path.
 PATTERNS = ["*.spam-farm.*", "spam-farm.*", "*.cheap-pills.*", "cheap-pills.*", "*casino*/*", "*/wp-login.php*", "*/cgi-bin/*", "*.onion/*"]
 
-BLOCK_RULES = 20_000
+#: Rules are broadcast up to so many bytes.
+BROADCAST_BYTES = 32 << 20
 _SEPARATOR = r"[^a-z0-9_]"
 
 
@@ -66,44 +67,30 @@ def url_tokens(target: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower(target), _SEPARATOR)))
 
 
-def _lookup(tokens: str, rules: Column) -> Column:
-    """The rules filed under any of the tokens."""
-    return F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at(rules, t)), lambda x: x.isNotNull()))
+def index(targets: DataFrame, compiled: list) -> DataFrame:
+    """The rules, each with the ``token`` that it is filed under; ``targets`` has the column ``token`` with the tokens of all urls."""
+    spark = targets.sparkSession
+    rules = spark.createDataFrame([(k, *r) for k, r in enumerate(compiled)], "k int, rule string, verdict string, pattern string, size int, tokens array<string>")
+    known = rules.select("k", F.explode("tokens").alias("token"))
+    counts = targets.join(_sent(known.select("token").distinct(), compiled), "token").groupBy("token").agg(F.count("*").alias("n"))
+    filed = known.join(counts, "token", "left").groupBy("k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
+    return rules.join(filed, "k", "left").select("rule", "verdict", "pattern", "size", F.coalesce("rarest.token", F.lit("")).alias("token"))
 
 
-def index(urls: DataFrame, target: Column, compiled: list) -> list[DataFrame]:
-    """One-row frames with a map from each filing token to its rules."""
-    spark = urls.sparkSession
-    known = sorted({t for r in compiled for t in r[4]})
-    counts: dict[str, int] = {}
-    for i in range(0, len(known), BLOCK_RULES):
-        part = spark.createDataFrame([(t,) for t in known[i : i + BLOCK_RULES]], "token string")
-        seen = urls.select(F.explode(url_tokens(target)).alias("token")).join(F.broadcast(part), "token").groupBy("token").count()
-        counts |= {r[0]: r[1] for r in seen.collect()}  # at most a count for each token of the block
-    filed = [(min(r[4], key=lambda t: (counts.get(t, 0), t), default=""), *r[:4]) for r in compiled]
-    schema = "token string, rule string, verdict string, pattern string, size int"
-    out = []
-    for i in range(0, len(filed), BLOCK_RULES):
-        grouped = spark.createDataFrame(filed[i : i + BLOCK_RULES], schema).groupBy("token").agg(F.collect_list(F.struct("rule", "verdict", "pattern", "size")).alias("rules"))
-        out.append(grouped.agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("rules")))
-    return out
+def _sent(rules: DataFrame, compiled: list) -> DataFrame:
+    return F.broadcast(rules) if sum(len(r[0]) + len(r[2]) + sum(map(len, r[4])) for r in compiled) <= BROADCAST_BYTES else rules
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] | None = None, patterns: list[str] | None = None) -> DataFrame:
     """``host``, ``path``, ``rule``, ``verdict``, ``pattern`` (the pattern rule that blocks, if any) of each url and ``n_tested``, how many rules ran."""
     compiled = compile_rules(RULES if rules is None else rules, PATTERNS if patterns is None else patterns)
     host, path = split_url(F.col(url_col).cast("string"))
-    urls = pages.select(F.col(id_col).alias("__id"), host.alias("__host"), path.alias("__path"))
-    target = F.concat("__host", "__path")
-    maps = {f"__map{i}": m.scalar() for i, m in enumerate(index(urls, target, compiled))}
-    urls = urls.withColumns(maps | {"__tokens": url_tokens(target)})
-    found = [_lookup("__tokens", F.col(m)) for m in maps]
-    nothing = F.array().cast("array<struct<rule:string,verdict:string,pattern:string,size:int>>")
-    urls = urls.withColumn("__tested", reduce(F.concat, found) if found else nothing).withColumn("__target", target)
-    fits = F.filter("__tested", lambda r: F.regexp_like(F.col("__target"), r["pattern"]))
-    urls = urls.withColumn("__fits", F.when(F.col("__host") == "", nothing).otherwise(fits))
-    prefix = F.array_max(F.transform(F.filter("__fits", lambda r: r["size"] > 0), lambda r: F.struct(r["size"].alias("size"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    pattern = F.array_min(F.transform(F.filter("__fits", lambda r: r["size"] == 0), lambda r: r["rule"]))
-    urls = urls.withColumns({"__best": prefix, "__pattern": pattern})
-    verdict = F.coalesce(F.col("__best.verdict"), F.when(F.col("__pattern").isNotNull(), "block").otherwise("allow"))
-    return urls.select(F.col("__id").alias(id_col), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("__best").isNull(), F.col("__pattern")).alias("pattern"), F.size("__tested").alias("n_tested"))
+    urls = pages.select(F.col(id_col).alias("__id"), host.alias("host"), path.alias("path"))
+    distinct = urls.where(F.col("host") != "").groupBy("host", "path").agg(F.count("*").alias("rows"))
+    tokens = distinct.select("host", "path", F.explode(url_tokens(F.concat("host", "path"))).alias("token"))
+    tested = tokens.join(_sent(written(index(tokens, compiled)), compiled), "token").withColumn("fits", F.regexp_like(F.concat("host", "path"), F.col("pattern")))
+    best = F.max(F.when(F.col("fits") & (F.col("size") > 0), F.struct("size", "rule", "verdict")))
+    found = written(tested.groupBy("host", "path").agg(best.alias("best"), F.min(F.when(F.col("fits") & (F.col("size") == 0), F.col("rule"))).alias("blocks"), F.count("*").cast("int").alias("n_tested")))
+    out = urls.join(found, ["host", "path"], "left")
+    verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("blocks").isNotNull(), "block").otherwise("allow"))
+    return out.select(F.col("__id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("best").isNull(), F.col("blocks")).alias("pattern"), F.coalesce("n_tested", F.lit(0)).alias("n_tested"))

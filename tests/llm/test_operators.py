@@ -204,8 +204,9 @@ def test_url_filters_equal_all_rules(spark):
     assert got == Counter((k, *plain_verdict(u)) for k, u in every)
 
 
-def test_url_filters_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(url_filters, "BLOCK_RULES", 7)
+@pytest.mark.parametrize("most", [0, 32 << 20])
+def test_url_filters_with_many_rules(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filters, "BROADCAST_BYTES", most)
     rules = [("block" if i % 2 else "allow", f"host{i}.example.com/p{i % 5}/") for i in range(60)]
     df = spark.createDataFrame([(i, f"http://www.host{i}.example.com/p{i % 5}/x") for i in range(70)], "page_id int, url string")
     got = {r.page_id: (r.rule, r.n_tested) for r in url_filters.judge(df, rules=rules, patterns=[]).collect()}
@@ -213,6 +214,14 @@ def test_url_filters_over_many_blocks(spark, monkeypatch):
     assert max(n for _, n in got.values()) == 1  # the index leaves one rule to test
 
 
+def test_url_filters_break_ties(spark):
+    df = spark.createDataFrame([(1, "http://b.org/xxyy"), (2, "http://c.net/")], "page_id int, url string")
+    rules = [("allow", "b.org/xx"), ("block", "org/xxyy"), ("allow", "net/"), ("block", "net/")]
+    for order in (rules, rules[::-1]):
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(df, rules=order, patterns=[]).collect()}
+        assert got == {1: ("org/xxyy", "block"), 2: ("net/", "block")}
+
+
 def test_url_filters_of_nothing(spark):
     assert url_filters.judge(spark.createDataFrame([], "page_id int, url string")).count() == 0
     one = spark.createDataFrame([(1, "http://x.org/")], "page_id int, url string")
