@@ -3,10 +3,13 @@
 Two documents link when the Jaccard similarity of their sets of distinct five-word shingles is at least
 THRESHOLD %. The result is each document's component; all links between different texts are found.
 
-1. Exact copies of a set are one node from the start (a grouped aggregation by a 128-bit digest).
+1. Exact copies of a set are one node from the start (a grouped aggregation by a 128-bit digest). A node goes by one half of
+   its digest; where two digests agree in it, those nodes go by the other half.
 2. Document frequencies: nodes send their shingles, packed, to partitions by shingle. Each task sorts what it gets and
    returns the shingles of two or more nodes, again packed, to partitions by node. The others can't be
-   shared, so all overlaps follow from what remains.
+   shared, so all overlaps follow from what remains. Hot shingles (at most HOT_KEYS, found while the digests are taken, from what
+   repeats within a slice of texts) count as most frequent and go to partitions by shingle and node, so that no
+   task holds all nodes of one; which they are changes the order, but no result.
 3. Each node orders its shingles by (frequency, hash), the global order. Two sets of at least the
    threshold share a shingle among the first n - ceil(t n) + 1 of both, so only those are posted;
    nodes without a posted shingle have no link and go. Rare shingles come first, so a passage that
@@ -14,7 +17,8 @@ THRESHOLD %. The result is each document's component; all links between differen
 4. Candidates, in rounds, so that a large group never emits all its pairs: in each of ROUNDS rounds each
    posted shingle pairs its nodes with one of them only, its hub, and the links found are contracted to
    components. Then all pairs across components are taken that are left; one side of them always lies outside the
-   component of one chosen node of the shingle, which by then is nearly all of a large group.
+   component of one chosen node of the shingle, which by then is nearly all of a large group, and the other is looked up by the shingle and
+   by the sizes that the node can link with: its own size and the shingles from this one on bound them on both sides.
 5. Verification is the prefix-tree walk: the ordered sets of the partners of one node, sorted, form a
    trie whose nodes are shared prefixes. The walk keeps the partial overlap at each depth, takes it up
    again at the longest common prefix of the next set, and leaves a subtree when the overlap so far and
@@ -42,13 +46,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.tables import add_columns, map_texts, saved
-from millrace.llm.wordhash import WHITE, U, Words, release_memory, shingles, slices
+from millrace.llm.wordhash import WHITE, U, Words, mix, release_memory, shingles, slices
 
 THRESHOLD = 75
 SHINGLE = 5
 #: Shingles in a partition of the exchanges; the number of partitions follows from it.
 PARTITION_SHINGLES = 2_000_000
 FLUSH_SHINGLES = 1_000_000
+#: Hot shingles that are dealt out by node: at most so many, and only of at least so many nodes as slices of texts show.
+HOT_KEYS = 50_000
+HOT_NODES = 1000
 #: Rounds in which a shingle pairs its nodes with one of them only, before all pairs that are left.
 ROUNDS = 4
 #: Edges that a task of a step of ``connected`` reads at most on average.
@@ -68,16 +75,50 @@ def _digest(s: np.ndarray) -> np.ndarray:
 _DIGEST = "{0}n_shingles bigint, {0}node bigint, {0}check bigint"
 
 
-def _digests(raw, offsets) -> list:
-    sets = _sets(raw, offsets)
+def _digests(raw, offsets, sets=None) -> list:
+    sets = _sets(raw, offsets) if sets is None else sets
     size = np.array([len(s) for s in sets], dtype=np.int64)
     both = np.array([_digest(s) for s in sets], dtype=np.int64).reshape(-1, 2)
     return [size, pa.array(both[:, 0], mask=size == 0), pa.array(both[:, 1], mask=size == 0)]
 
 
+def _repeated(sets: list[np.ndarray]) -> bytes | None:
+    """The shingles that several different sets of a slice hold, and how many (8 bytes each)."""
+    once = {s.tobytes(): s for s in sets}.values()
+    keys, n = np.unique(np.concatenate([np.empty(0, dtype=U), *once]), return_counts=True)
+    return np.concatenate([keys[n > 1], n[n > 1].astype(U)]).tobytes() if (n > 1).any() else None
+
+
 def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``n_shingles`` and the digest (two longs, null for an empty set) of each document's set."""
-    return map_texts(docs, id_col, text_col, _digests, _DIGEST.format(""))
+    """``n_shingles`` and the digest (two longs, null for an empty set) of each document's set; ``repeated``, on the last row of a slice, what ``_repeated`` gives for it."""
+
+    def fn(raw, offsets):
+        sets = _sets(raw, offsets)
+        return [*_digests(raw, offsets, sets), pa.array([*[None] * (len(sets) - 1), _repeated(sets)], type=pa.binary())]
+
+    return map_texts(docs, id_col, text_col, fn, _DIGEST.format("") + ", repeated binary")
+
+
+def hot_keys(rows: DataFrame) -> np.ndarray:
+    """The shingles that most nodes hold, sorted: at most HOT_KEYS, of at least HOT_NODES nodes by what slices show."""
+
+    def run(batches):
+        for b in batches:
+            for x in b.column(0):
+                both = np.frombuffer(x.as_py(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(both[: len(both) // 2]), pa.array(both[len(both) // 2 :])], names=["key", "n"])
+
+    counts = rows.select("repeated").where("repeated is not null").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_NODES)
+    got = counts.orderBy(F.desc("n"), "key").limit(HOT_KEYS).toArrow()
+    return np.sort(got["key"].to_numpy().astype("<i8").view("<u8"))
+
+
+def collisions(sets: DataFrame) -> list[int]:
+    """Nodes that several digests share. Of 10**10 sets about three are expected, so the list is short; many would mean that the hash is broken."""
+    got = [r.node for r in sets.groupBy("node").count().where("count > 1").select("node").limit(100_001).collect()]
+    if len(got) > 100_000:
+        raise ValueError("digests collide far beyond chance")
+    return got
 
 
 # A packed block: number of nodes, nodes (8 bytes), set sizes (4), numbers of keys (4), then the keys of all nodes
@@ -107,8 +148,9 @@ def _emit(part: np.ndarray, owner: np.ndarray, nodes: np.ndarray, sizes: np.ndar
         yield int(part[a]), _pack(nodes[who], sizes[who], np.diff(np.append(first, b - a)), *(x[a:b] for x in arrays))
 
 
-def _send(texts: DataFrame, parts: int) -> DataFrame:
-    """All shingles of all nodes, packed by partition of the shingle's hash. A task sends equal sets once."""
+def _send(texts: DataFrame, parts: int, hot: np.ndarray, twice: list[int]) -> DataFrame:
+    """All shingles of all nodes, packed by partition of the shingle's hash; those of ``hot`` ones by shingle and node, in partitions from ``parts`` on. A task sends equal sets once. Nodes in ``twice`` go by the other half of their digest."""
+    other = set(twice)
 
     def run(batches):
         seen: set[bytes] = set()
@@ -119,6 +161,10 @@ def _send(texts: DataFrame, parts: int) -> DataFrame:
             size = np.array([len(s) for s in sets])
             h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
             part = ((h >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+            if len(hot):
+                is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                spread = mix(h[is_hot] ^ np.array(nodes, dtype=np.int64).view(U)[owner[is_hot]])
+                part[is_hot] = parts + (spread % U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             low = h[order] & _LOW
             blocks = list(_emit(part[order], owner[order], np.array(nodes), size, [(low >> U(32)).astype("<u2"), low.astype("<u4")]))
@@ -138,7 +184,7 @@ def _send(texts: DataFrame, parts: int) -> DataFrame:
                         if (key := d.tobytes()) not in seen:
                             seen.add(key)
                             sets.append(s)
-                            nodes.append(int(d[0]))
+                            nodes.append(int(d[0] if int(d[0]) not in other else d[1]))
                             held += len(s)
                 if held >= FLUSH_SHINGLES:
                     yield from flush()
@@ -170,13 +216,16 @@ def _shared(blocks: DataFrame, parts: int) -> DataFrame:
         del order
         start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         each = np.diff(np.append(start, len(low)))
-        many = np.repeat(np.minimum(each, 65535).astype("<u2"), each)
+        many = np.repeat(np.minimum(each, 65534).astype("<u2"), each)
+        part = key[0].as_py()
+        if part >= parts:  # hot ones, a share of their nodes
+            many[:], part = 65535, 65535
         keep = many > 1
         low, owner, many = low[keep], owner[keep], many[keep]
         bucket = (unique.astype(U) % U(parts)).astype(np.int64)
         order = np.lexsort((owner, bucket[owner]))
         owner = owner[order]
-        full = (low[order] + (U(key[0].as_py()) << U(48))).astype("<u8")
+        full = (low[order] + (U(part & 65535) << U(48))).astype("<u8")
         p, b = zip(*_emit(bucket[owner], owner, unique, sizes, [full, many[order]]), strict=True) if len(owner) else ((), ())
         del low, owner, many, full, order
         release_memory()
@@ -274,16 +323,30 @@ def _verify(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def _sizes() -> tuple:
+    """The smallest and the largest size of a set that can link with a node by the posted shingle."""
+    n, left = F.col("size").cast("bigint"), F.col("left").cast("bigint")
+    most = F.least(F.floor(100 * n / THRESHOLD), F.floor((100 + THRESHOLD) * left / THRESHOLD) - n)
+    return F.ceil(THRESHOLD * n / 100), most
+
+
+def _step(size):
+    """A class of sizes, each a tenth wider than the one before."""
+    return F.floor(F.log(size) / np.log(1.1)).cast("int")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """``node`` and ``label``, the smallest node of its component, of all nodes with links (a, b)."""
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     n, before = edges.count(), None
     while n:
         edges = edges.coalesce(1 + n // TASK_EDGES)
+        held = saved if n > TASK_EDGES else (lambda df: df)  # then both sides of a join are shuffled, and a hot node can be split
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = held(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = held(large)
+        least = held(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
         edges = saved(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -294,9 +357,9 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _mixed(postings: DataFrame) -> DataFrame:
-    """The postings of shingles whose nodes are in several components."""
+    """The postings of shingles whose nodes are in several components. The shingles are saved first, as hubs are below: a join with two shuffled sides is split where a key is hot."""
     several = postings.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return postings.join(several, "key")
+    return postings.join(saved(several), "key")
 
 
 def _contracted(found: DataFrame) -> DataFrame:
@@ -307,10 +370,10 @@ def _contracted(found: DataFrame) -> DataFrame:
     return far.select(F.col("u").alias("label"), "to")
 
 
-def links(docs: DataFrame, text_col: str, total: int) -> DataFrame:
+def links(docs: DataFrame, text_col: str, total: int, hot: np.ndarray, twice: list[int]) -> DataFrame:
     """Edges (a, b) that connect exactly the nodes that links connect."""
     parts = max(1, -(-total // PARTITION_SHINGLES))
-    sent = _send(docs.select(F.col(text_col).cast("string")), parts)
+    sent = _send(docs.select(F.col(text_col).cast("string")), parts, hot, twice)
     ordered = saved(_ordered(_shared(sent, parts)))
     current = saved(_mixed(_postings(ordered).withColumn("label", F.col("node"))))
     edges, k = [], 0
@@ -318,13 +381,15 @@ def links(docs: DataFrame, text_col: str, total: int) -> DataFrame:
         if k < ROUNDS:
             # the node with the fewest shingles of its own is nearest to the middle of its group; then nodes by chance
             rank = F.col("own").cast("bigint") if k == 0 else F.xxhash64("node", F.lit(k))
-            hubs = current.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "left", "label")).alias("hub")).select("key", "hub.*")
+            hubs = saved(current.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "left", "label")).alias("hub")).select("key", "hub.*"))
             pairs = current.alias("p").join(hubs.alias("q"), "key").where("p.label <> q.label")
         else:
-            main = current.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("rank"), "label")).alias("hub")).select("key", F.col("hub.label").alias("main"))
-            named = current.join(main, "key")
-            p = named.where("label <> main").alias("p")
-            pairs = p.join(named.alias("q"), "key").where("p.label <> q.label and (q.label = q.main or p.node < q.node)")
+            main = saved(current.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("rank"), "label")).alias("hub")).select("key", F.col("hub.label").alias("main")))
+            named = saved(current.join(main, "key").withColumn("step", _step(F.col("size"))))
+            low, high = _sizes()
+            p = named.where("label <> main").withColumns({"low": low, "high": high}).where("low <= high")
+            p = p.withColumn("step", F.explode(F.sequence(_step(F.col("low")), _step(F.col("high"))))).alias("p")
+            pairs = p.join(named.alias("q"), ["key", "step"]).where("p.label <> q.label and (q.label = q.main or p.node < q.node) and q.size between p.low and p.high")
         pairs = pairs.where(_may_link("p", "q")).select(F.struct("q.node", "q.label").alias("x"), F.struct("p.node", "p.label").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("label_a"), F.col("y.label").alias("label_b"))
@@ -344,15 +409,18 @@ def links(docs: DataFrame, text_col: str, total: int) -> DataFrame:
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``__id``, ``n_shingles``, the digest and ``component_id``, the smallest id of its component, of each document."""
     rows = saved(digests(docs, id_col, text_col).withColumnRenamed(id_col, "__id"))
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    total, hot = rows.agg(F.sum("n_shingles")).first()[0] or 0, hot_keys(rows)
+    rows = rows.drop("repeated")
     sets = rows.where("node is not null").groupBy("node", "check").agg(F.min("__id").alias("least"))
     if total:
         sets = saved(sets)
-        labels = connected(links(docs, text_col, total))
-        labelled = sets.join(labels, "node")
-        smallest = labelled.groupBy("label").agg(F.min("least").alias("smallest"))
+        twice = collisions(sets)
+        name = F.when(F.col("node").isin(twice), F.col("check")).otherwise(F.col("node")) if twice else F.col("node")
+        labels = connected(links(docs, text_col, total, hot, twice)).withColumnRenamed("node", "name")
+        labelled = sets.withColumn("name", name).join(labels, "name")
+        smallest = saved(labelled.groupBy("label").agg(F.min("least").alias("smallest")))
         named = labelled.join(smallest, "label").select("node", "check", "smallest")
-        sets = sets.join(named, ["node", "check"], "left").select("node", "check", F.coalesce("smallest", "least").alias("least"))
+        sets = saved(sets.join(named, ["node", "check"], "left").select("node", "check", F.coalesce("smallest", "least").alias("least")))
     out = rows.join(sets, ["node", "check"], "left")
     return out.select("__id", "n_shingles", "node", "check", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("least")).alias("component_id"))
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -414,10 +415,46 @@ def test_ngram_join_equals_all_pairs(spark, rows, monkeypatch):
     every = rows + H.HARD + [(5000 - i, t) for i, t in enumerate(texts)]
     monkeypatch.setattr(ngram_join, "PARTITION_SHINGLES", 20_000)
     monkeypatch.setattr(ngram_join, "FLUSH_SHINGLES", 10_000)
-    for rounds in (4, 0):
+    want = Counter(H.components(every))
+    for rounds, hot in ((4, 1000), (0, 3)):
         monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        monkeypatch.setattr(ngram_join, "HOT_NODES", hot)
         got = Counter(tuple(r) for r in ngram_join.components(H.frame(spark, every)).collect())
-        assert got == Counter(H.components(every))
+        assert got == want
+    whole, both = ngram_join._digest, ngram_join._digests
+
+    def colliding(raw, offsets, sets=None):
+        size, node, check = both(raw, offsets, sets)
+        return [size, pa.array([None if x is None else x % 97 for x in node.to_pylist()], type=pa.int64()), check]
+
+    monkeypatch.setattr(ngram_join, "_digest", lambda s: np.array([whole(s)[0] % 97, whole(s)[1]]))
+    monkeypatch.setattr(ngram_join, "_digests", colliding)
+    assert Counter(tuple(r) for r in ngram_join.components(H.frame(spark, every)).collect()) == want
+
+
+def test_hot_shingles_are_found_and_dealt_out(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(20))
+    d = H.frame(spark, [(k, f"{' '.join(f'u{k}v{i}' for i in range(30))} {passage}") for k in range(600)])
+    monkeypatch.setattr(ngram_join, "HOT_NODES", 100)
+    rows = ngram_join.digests(d, "doc_id", "text")
+    hot = ngram_join.hot_keys(rows)
+    assert len(hot) == 16
+    blocks = ngram_join._send(d.select("text"), 8, hot, []).collect()
+    held = Counter()
+    for b in blocks:
+        held[b.part] += int(ngram_join._unpack(memoryview(bytes(b.block)), "<u2", "<u4")[2].sum())
+    assert sum(n for p, n in held.items() if p >= 8) == 16 * 600 and max(held.values()) < 3 * sum(held.values()) / len(held)
+
+
+def test_holders_of_one_passage_that_cannot_link_make_no_pairs(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(70))
+    every = [(k, f"{passage} {' '.join(f'u{k}v{i}' for i in range(20))}") for k in range(400)]  # 66 of 86 shingles in common: a similarity of 0.62
+    joined = []
+    verify = ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, ordered: joined.append(pairs.count()) or verify(pairs, ordered))
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    got = ngram_join.components(H.frame(spark, every)).collect()
+    assert all(r.component_id == r.doc_id for r in got) and sum(joined) == 0
 
 
 def test_ngram_join_keeps_one_of_each_group(spark):
