@@ -10,7 +10,8 @@ freest, ``with`` adds a little for the exception.
 
 Defined results: a null or empty text has no words, no places, empty labels and the score 0.5; rows
 with null or repeated ids are scanned each on its own; an empty table gives an empty result; extra
-columns are ignored; an expression that doesn't parse gives no label. Texts are read whole.
+columns are ignored; an expression that doesn't parse gives no label; of overlapping notices (``cc by`` in ``cc by nc``) each
+gives its label. Texts are read whole.
 """
 
 from __future__ import annotations

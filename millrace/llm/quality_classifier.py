@@ -74,15 +74,15 @@ def train(x: np.ndarray, good: np.ndarray, l2: float = 0.5, steps: int = 12) ->
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAINING_ROWS) -> Model:
     sample = labelled_sample(docs.select(id_col, text_col), labels, id_col, label_col, rows=rows)
-    sample = sample.select(F.xxhash64(id_col).alias("id"), F.col("__label").alias("label"), F.col(text_col).alias("text"))
+    sample = sample.select(F.xxhash64(id_col).alias("id"), F.col("__label").alias("label"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
 
     def fn(batches):
         for b in batches:
             for i, raw, offsets in slices(b.column(2)):
                 m = ratios(text_stats(raw, offsets))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(m)), b.column(1).slice(i, len(m)), *(pa.array(c.copy()) for c in m.T)], names=["id", "label", *FEATURES])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(m)), b.column(1).slice(i, len(m)), b.column(3).slice(i, len(m)), *(pa.array(c.copy()) for c in m.T)], names=["id", "label", "hash", *FEATURES])
 
-    got = sample.mapInArrow(fn, "id bigint, label int, " + ", ".join(f"{x} double" for x in FEATURES)).toArrow().sort_by("id")
+    got = sample.mapInArrow(fn, "id bigint, label int, hash bigint, " + ", ".join(f"{x} double" for x in FEATURES)).toArrow().sort_by([(c, "ascending") for c in ("id", "label", "hash")])
     return train(np.column_stack([got[c].to_numpy() for c in FEATURES]), got["label"].to_numpy())
 
 

@@ -44,7 +44,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col:
     """Documents with a label, ``rows`` of them at most: those with the smallest hash of their id.
 
     ``keep`` filters labels first. The sample's ids are bounded, so they are broadcast. Labels that
-    are null or not 0 or 1 and rows without an id don't count; a repeated id keeps its largest label."""
+    are null or not 0 or 1 and rows without an id don't count; a repeated id keeps its largest label, and all its documents are in the sample.
+    Who fits a model sorts the rows by hash of the id, label and hash of the text, so that the same rows in other files give the same model."""
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if keep is not None:
         chosen = chosen.where(keep)

@@ -5,7 +5,7 @@ to 2**BITS buckets. Training takes a bounded sample of labelled rows; each coord
 learning rate, and L1 leaves few weights other than zero, which are sent to the tasks that score.
 
 Defined results: a null or empty text has no features and gets the score of the bias; ids may be
-null or repeated, each row is scored on its own; with no usable label all scores are 0.5; an
+null or repeated, each row is scored on its own; rows of a repeated id all train, in the order of their texts' hashes; with no usable label all scores are 0.5; an
 empty table gives an empty result; extra columns are ignored. Texts are read whole.
 """
 
@@ -93,7 +93,7 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS) -> Model:
     """Learns from ``rows`` labelled documents at most, none of them held out."""
     sample = labelled_sample(docs.select(id_col, text_col), labels, id_col, label_col, keep=~held_out(id_col), rows=rows)
-    sample = sample.select(F.xxhash64(id_col).alias("id"), F.col("__label").alias("label"), F.col(text_col).alias("text"))
+    sample = sample.select(F.xxhash64(id_col).alias("id"), F.col("__label").alias("label"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
 
     def fn(batches):
         for b in batches:
@@ -103,9 +103,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 pairs = np.unique((doc << BITS) | bucket)
                 at = np.searchsorted(pairs, np.arange(m + 1) << BITS)
                 ids = (pairs & ((1 << BITS) - 1)).astype("<i4")
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), b.column(1).slice(i, m), pa.array([ids[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], type=pa.binary())], names=["id", "label", "buckets"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), b.column(1).slice(i, m), b.column(3).slice(i, m), pa.array([ids[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], type=pa.binary())], names=["id", "label", "hash", "buckets"])
 
-    got = sample.mapInArrow(fn, "id bigint, label int, buckets binary").toArrow().sort_by("id")
+    got = sample.mapInArrow(fn, "id bigint, label int, hash bigint, buckets binary").toArrow().sort_by([(c, "ascending") for c in ("id", "label", "hash")])
     return train([(np.frombuffer(x.as_py(), dtype="<i4"), y) for x, y in zip(got["buckets"], got["label"].to_pylist(), strict=True)])
 
 

@@ -246,6 +246,55 @@ def test_toxicity_finds_held_out_toxic_texts(spark):
     assert len(m.buckets) < 300
 
 
+def plain_ftrl(rows, alpha=3.0, beta=1.0, l1=8.0, epochs=6, least=4):
+    """A score function, from (text, label) rows; features are words, not buckets."""
+
+    def features(t):
+        w = H.words(t, H.ALNUM)
+        return {(x,) for x in w} | set(zip(w, w[1:])) | {(a, None, b) for a, b in zip(w, w[2:])}
+
+    seen = Counter(f for t, _ in rows for f in features(t))
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        if f is not None and abs(z[f]) <= l1:
+            return 0.0
+        return -(z[f] - (0 if f is None else math.copysign(l1, z[f]))) / ((beta + math.sqrt(n[f])) / alpha)
+
+    rng = np.random.Generator(np.random.PCG64(7))
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            t, y = rows[k]
+            w = {f: weight(f) for f in [*(f for f in features(t) if seen[f] >= least), None]}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - y
+            for f, x in w.items():
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * x
+                n[f] += g * g
+    return lambda t: 1 / (1 + math.exp(-sum(weight(f) for f in [*(f for f in features(t) if seen[f] >= least), None])))
+
+
+def test_toxicity_equals_plain_ftrl():
+    rng = np.random.Generator(np.random.PCG64(31))
+    texts = [" ".join(rng.choice(VOCABULARY, 25)) + (" you utter moron" if i % 3 == 0 else "") for i in range(120)] + ["", "moron", "  "]
+    labels = [int(i % 3 == 0) for i in range(120)] + [0, 1, 0]
+    raw, offsets = np.frombuffer(b"".join(t.encode() for t in texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    doc, bucket = toxicity.features(raw, offsets)
+    model = toxicity.train([(np.unique(bucket[doc == i]), labels[i]) for i in range(len(texts))])
+    plain = plain_ftrl(list(zip(texts, labels, strict=True)))
+    assert len(model.buckets) > 3
+    assert model.score(raw, offsets) == pytest.approx([plain(t) for t in texts], abs=1e-9)
+
+
+def test_models_do_not_depend_on_the_order_of_repeated_rows(spark):
+    every = [(i % 40, " ".join([*VOCABULARY[i % 50 :: 7], *(["###"] * (i % 9)), "moron" * (i % 2)])) for i in range(160)]
+    lab = H.labels(spark, [(k, "") for k in range(40)], quality=lambda k: k % 2, toxic=lambda k: k % 2)
+    got = []
+    for df in (H.frame(spark, every).repartition(3), H.frame(spark, every[::-1]).repartition(2)):
+        m, q = toxicity.fit(df, lab), quality_classifier.fit(df, lab)
+        got.append((m.buckets.tolist(), m.weights.tolist(), m.bias, q.weights.tolist(), quality_rules.fit(df, lab)))
+    assert got[0] == got[1]
+
+
 def test_toxicity_on_the_tables(spark, docs):
     m = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
     got = toxicity.score(docs, m)
@@ -313,6 +362,53 @@ def test_quality_posteriors_equal_plain_python(spark):
         assert got[h, None] == pytest.approx(post[h])
 
 
+def test_quality_evidence_is_the_optimum_and_enters_the_posterior(spark):
+    every = quality_rows()
+    x = np.array([[len(t) % 17 + i % 3, len(set(t)) + i / 7, len(t.split())] for i, (_, t) in enumerate(every)], dtype=float)
+    good = np.array([int(k < 1000) ^ (i % 5 == 0) for i, (k, _) in enumerate(every)], dtype=float)
+    m = quality_classifier.train(x, good)
+    d = np.zeros((len(x), len(m.weights)))  # one column for each bin, the bias last
+    for i, row in enumerate(x):
+        at = 0
+        for v, e in zip(row, m.edges, strict=True):
+            d[i, at + sum(v > t for t in e)] = 1
+            at += len(e) + 1
+        d[i, -1] = 1
+    p = 1 / (1 + np.exp(-(d @ m.weights)))
+    gradient = d.T @ (good - p) - np.append(np.full(len(m.weights) - 1, 0.5), 1e-6) * m.weights
+    assert np.abs(gradient).max() < 1e-6  # the objective is convex: one optimum
+    df = H.frame(spark, every)
+    lab = H.labels(spark, every, quality=lambda k: int(k < 1000))
+    mean = quality_classifier.sites(df, lab, F.col("source"), F.col("lang")).first()["__mean"]
+
+    def logit(v):
+        v = max(1e-3, min(1 - 1e-3, v))
+        return math.log(v / (1 - v))
+
+    for r in quality_classifier.judge(df, lab, F.col("source"), F.col("lang")).collect():
+        want = 1 / (1 + math.exp(-(math.log(r.doc_score / (1 - r.doc_score)) + logit(r.path_posterior) - logit(mean))))
+        assert r.posterior == pytest.approx(want) and r.kept == (r.posterior >= 0.5)
+
+
+def test_best_condition_equals_an_exhaustive_search():
+    rng = np.random.Generator(np.random.PCG64(37))
+    for _ in range(20):
+        x = rng.integers(0, 6, (40, len(quality_rules.FEATURES))).astype(float)
+        y = (rng.random(40) < 0.2 + 0.6 * (x[:, 2] > 3)).astype(int)
+        base = math.log2(y.sum() / len(y))
+        gains = []
+        for j, name in enumerate(quality_rules.FEATURES):
+            values = sorted(set(x[:, j]))
+            for a, b in zip(values, values[1:]):
+                for above in (False, True):
+                    hit = x[:, j] > (a + b) / 2 if above else x[:, j] <= (a + b) / 2
+                    if y[hit].sum():
+                        gains.append((y[hit].sum() * (math.log2(y[hit].sum() / hit.sum()) - base), (name, above, (a + b) / 2)))
+        gain, found = quality_rules._best_condition(x, y)
+        best = max(g for g, _ in gains)
+        assert gain == pytest.approx(best) and any(c == found and g == pytest.approx(best) for g, c in gains)
+
+
 def test_quality_classifier_join_without_broadcast(spark, monkeypatch):
     every = quality_rows()[::3]
     d, lab = H.frame(spark, every), H.labels(spark, every, quality=lambda k: int(k < 1000))
@@ -388,6 +484,24 @@ def test_license_labels_of_the_method(spark):
     assert got[4][0] == "gpl-2.0-with-classpath-exception-2.0" and got[1] == ("reserved", 0.0)
 
 
+def test_license_labels_and_scores_equal_plain_python(spark, rows):
+    phrases = licenses.NOTICES | licenses.BASE
+    mixed = [" and then ".join(p for j, p in enumerate(phrases) if (i >> (j % 7)) & 1) for i in range(60)]
+    every = rows + H.HARD + list(enumerate(mixed, 8000)) + list(enumerate(NOTICES, 7000))
+    got = Counter((r.doc_id, r.labels, r.score) for r in licenses.scan(H.frame(spark, every)).collect())
+    want = Counter()
+    for k, t in every:
+        w = H.words(t, H.ALNUM)
+        labels = {label for p, label in phrases.items() for n in [len(p.split())] if any(w[i : i + n] == p.split() for i in range(len(w)))}
+        free = [licenses.freedom(x) for x in labels]
+        for m in re.finditer(r"spdx-license-identifier:[ \t]*([a-z0-9.+()\- \t]*)", t or "", re.I):
+            if (e := licenses.evaluate(m[1])) is not None:
+                labels |= set(e[0])
+                free.append(e[1])
+        want[k, ",".join(sorted(labels)), min([1.0, *free]) if free else 0.5] += 1
+    assert got == want
+
+
 def test_license_scan_of_nothing(empty):
     assert licenses.scan(empty).count() == 0
 
