@@ -401,7 +401,7 @@ def links(docs: DataFrame, text_col: str, total: int, hot: np.ndarray, twice: li
             k = ROUNDS  # nothing left to contract
             continue
         k += 1
-        named = current.join(_contracted(found), "label", "left")
+        named = current.join(saved(_contracted(found)), "label", "left")
         current = saved(_mixed(named.withColumn("label", F.coalesce("to", "label")).drop("to")))
     return reduce(DataFrame.unionAll, edges) if edges else docs.sparkSession.createDataFrame([], "a bigint, b bigint")
 
