@@ -433,6 +433,6 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns. Rows without an id or without a word stay; of repeated ids each row stays or goes by its own component."""
     found = _named(docs, id_col, text_col)
-    gone = found.where(F.col("component_id") != F.col("__id")).select(F.col("__id").alias("__gone"), F.col("node").alias("__n"), F.col("check").alias("__c")).distinct()
+    gone = found.where(F.col("component_id") != F.col("__id")).select(F.col("__id").alias("__gone"), F.col("node").alias("__n"), F.col("check").alias("__c"))
     rows = add_columns(docs, text_col, _digests, _DIGEST.format("__"))
     return rows.join(gone, (rows[id_col] == F.col("__gone")) & (F.col("__node") == F.col("__n")) & (F.col("__check") == F.col("__c")), "left_anti").select(*docs.columns)
