@@ -118,15 +118,25 @@ def best_match(candidates: DataFrame, group: str, rank: str, name: str, words: s
 def fuzzy_pairs(left: DataFrame, right: DataFrame, a: str, b: str, share: float = 0.6) -> DataFrame:
     """Pairs of titles of which one contains the other or whose character sets have a Jaccard similarity above ``share``.
 
-    Similar sets share a character among the first n - ceil(share n) + 1 of both in one order, so pairs come from an equi-join on
-    these. A title in another one shares all its characters; it joins on its own first character."""
+    Sets are put in the order of the characters' rarity over all titles. Similar sets share a character among the first
+    n - ceil(share n) + 1 of both in that order, so pairs come from an equi-join on these, within the bounds on their sizes. A title in another
+    one shares all its characters; it joins on its rarest one. The table of characters has a row for each code point at most, so it is broadcast."""
     def prepared(d: DataFrame, c: str, s: str) -> DataFrame:
         t = F.lower(F.trim(F.col(c)))
-        return d.select(F.col(c).alias(s), t.alias(f"{s}_t")).where(F.col(f"{s}_t") != "").distinct().withColumn(f"{s}_set", F.array_sort(F.array_distinct(F.filter(F.split(f"{s}_t", ""), lambda x: x != ""))))
+        d = d.select(F.col(c).alias(s), t.alias(f"{s}_t")).where(F.col(f"{s}_t") != "").distinct()
+        return d.withColumn("c", F.explode(F.array_distinct(F.filter(F.split(f"{s}_t", ""), lambda x: x != ""))))
 
     x, y = prepared(left, a, "a"), prepared(right, b, "b")
+    often = F.broadcast(x.select("c").unionAll(y.select("c")).groupBy("c").agg(F.count("*").alias("n")))
+
+    def ordered(d: DataFrame, s: str) -> DataFrame:
+        d = d.join(often, "c").groupBy(s, f"{s}_t").agg(F.sort_array(F.collect_list(F.struct("n", "c"))).alias("r"))
+        return d.select(s, f"{s}_t", F.transform("r", lambda v: v["c"]).alias(f"{s}_set"))
+
+    x, y = ordered(x, "a"), ordered(y, "b")
     prefix = lambda s: F.slice(s, F.lit(1), (F.size(s) - F.ceil(F.size(s) * share).cast("int") + 1))
-    sets = x.withColumn("c", F.explode(prefix("a_set"))).join(y.withColumn("c", F.explode(prefix("b_set"))), "c").drop("c")
+    near = (F.size("a_set") > share * F.size("b_set")) & (F.size("b_set") > share * F.size("a_set"))
+    sets = x.withColumn("c", F.explode(prefix("a_set"))).join(y.withColumn("c", F.explode(prefix("b_set"))), "c").where(near).drop("c")
     inside = x.withColumn("c", F.explode("a_set")).join(y.withColumn("c", F.get("b_set", F.lit(0))), "c").drop("c").unionByName(x.withColumn("c", F.get("a_set", F.lit(0))).join(y.withColumn("c", F.explode("b_set")), "c").drop("c"))
     contains = F.contains("a_t", F.col("b_t")) | F.contains("b_t", F.col("a_t"))
     sim = F.size(F.array_intersect("a_set", "b_set")) / F.size(F.array_union("a_set", "b_set"))

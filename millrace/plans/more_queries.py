@@ -32,9 +32,9 @@ def set_difference(spark, sf_dir):
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k")).subtract(table(spark, sf_dir, "conversations").select("conv_id"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE regexp_replace(text, '[\\s ​]+', '', 'g') <> '' AND turn > 0")
+@query("SELECT conv_id, turn FROM conversations WHERE regexp_replace(text, '[\\s ​]+', '', 'g') <> ''")
 def blank_rows_dropped(spark, sf_dir):
-    return P.drop_blank_rows(table(spark, sf_dir, "conversations"), ["text"]).where("turn > 0").select("conv_id", "turn")
+    return P.drop_blank_rows(table(spark, sf_dir, "conversations"), ["text"]).select("conv_id", "turn")
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(json_extract_string(props, '$.missing') AS DOUBLE) AS missing FROM events")

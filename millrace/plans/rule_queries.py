@@ -238,20 +238,20 @@ def verdicts(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(k.alias("key"), C.verdict(text).alias("verdict"))
 
 
-@query("""WITH o AS (SELECT upper(s_name) AS key, s_acctbal AS v, 'old' AS note FROM supplier), n AS (SELECT upper('supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')) AS key, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS v, 'new' AS note FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH o AS (SELECT upper(s_name) AS key, s_acctbal AS v, 'old' AS note FROM supplier), n AS (SELECT upper('supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')) AS key, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS v, 'new' AS note FROM customer)
 SELECT coalesce(o.key, n.key) AS key, coalesce(n.v, o.v) AS v, coalesce(n.note, o.note) AS note, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'kept' ELSE 'updated' END AS action FROM o FULL JOIN n ON o.key = n.key WHERE coalesce(o.key, n.key) NOT IN (SELECT upper(s_name) FROM supplier WHERE s_nationkey = 3)""")
 def watch_upsert(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     old = s.select(F.col("s_name").alias("key"), F.col("s_acctbal").alias("v"), F.lit("old").alias("note"))
     k = F.col("c_custkey")
-    new = table(spark, sf_dir, "customer").where(k % 3 == 0).select(F.concat(F.lit("supplier#"), F.lpad(k.cast("string"), 9, "0")).alias("key"), F.when(k % 2 == 0, F.col("c_acctbal")).alias("v"), F.lit("new").alias("note"))
+    new = table(spark, sf_dir, "customer").select(F.concat(F.lit("supplier#"), F.lpad(k.cast("string"), 9, "0")).alias("key"), F.when(k % 2 == 0, F.col("c_acctbal")).alias("v"), F.lit("new").alias("note"))
     return A.upsert(old, new, "key", ["v", "note"], s.where("s_nationkey = 3").select(F.col("s_name").alias("key")))
 
 
-@query("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING'")
+@query("SELECT c_custkey, s_name FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
 def optional_lookup(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return A.lookup_enrich(table(spark, sf_dir, "orders"), c, "o_custkey").select("o_orderkey", "c_name")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), "s_name")
+    return A.lookup_enrich(table(spark, sf_dir, "customer"), s, "c_custkey").select("c_custkey", "s_name")
 
 
 @query("""WITH t AS (SELECT o_orderpriority AS q, first(o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS c FROM orders GROUP BY 1)

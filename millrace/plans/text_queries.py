@@ -98,17 +98,17 @@ def global_substrings(spark, sf_dir):
     return L.sampled_substrings(table(spark, sf_dir, "documents"))
 
 
-@query("""WITH h AS (SELECT hex(encode(text)) AS h FROM benchmark)
+@query("""WITH h AS (SELECT hex(encode(text)) AS h FROM documents)
 SELECT CAST('0x' || substr(p, 1, 2) AS INTEGER) AS b0, CAST('0x' || substr(p, 3, 2) AS INTEGER) AS b1, count(*) AS cnt
 FROM (SELECT unnest(list_transform(range(length(h) // 2 - 1), lambda i: substr(h, i * 2 + 1, 4))) AS p FROM h WHERE length(h) >= 4) GROUP BY p""")
 def byte_pairs(spark, sf_dir):
-    return L.byte_pairs(table(spark, sf_dir, "benchmark"))
+    return L.byte_pairs(table(spark, sf_dir, "documents"))
 
 
-@query("""WITH h AS (SELECT hex(encode(text)) AS h FROM benchmark)
+@query("""WITH h AS (SELECT hex(encode(text)) AS h FROM documents)
 SELECT CAST('0x' || b AS INTEGER) AS byte, count(*) AS cnt FROM (SELECT unnest(list_transform(range(length(h) // 2), lambda i: substr(h, i * 2 + 1, 2))) AS b FROM h) GROUP BY b""")
 def byte_counts(spark, sf_dir):
-    return L.byte_counts(table(spark, sf_dir, "benchmark"))
+    return L.byte_counts(table(spark, sf_dir, "documents"))
 
 
 def _templates(source: str) -> str:

@@ -206,3 +206,13 @@ def test_json_source_with_envelope(spark, tmp_path):
 
     (tmp_path / "x.json").write_text(json.dumps({"records": [{"a": 1}, {"a": 2}], "total": 2}))
     assert [r.a for r in files.json_records(spark, str(tmp_path), "a int", "records", lines=False).collect()] == [1, 2]
+
+
+def test_fuzzy_pairs_are_no_product(spark):
+    from millrace.operators import search as S
+
+    names = spark.createDataFrame([(f"{a} {b} no {i}",) for i, (a, b) in enumerate((a, b) for a in ("steel", "copper", "brass", "nickel", "tin") for b in ("plate", "wheel", "box", "jug", "drum", "zip"))], "x string")
+    plan = S.fuzzy_pairs(names, names, "x", "x")
+    plan.collect()
+    joins = plan._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in joins and "BroadcastNestedLoopJoin" not in joins
