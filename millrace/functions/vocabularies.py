@@ -30,6 +30,20 @@ PAGE_TYPES = [
     (["empty", "404", "error", "not found", "zero"], "Empty State"),
 ]
 
+#: Page types by what the best style result is good for.
+PAGE_TYPES_BY_STYLE = [
+    (["dashboard", "data"], "Dashboard / Data View"),
+    (["landing", "marketing"], "Landing / Marketing"),
+]
+
+#: Layouts by words among the style's keywords (width, layout, density), the layout of other styles, and what is said without any result.
+LAYOUTS = [
+    (["data", "dense", "dashboard", "grid"], "1400px or full-width", "12-column grid for data flexibility", "High — optimize for information display"),
+    (["minimal", "simple", "clean", "single"], "800px (narrow, focused)", "Single column, centered", "Low — focus on clarity"),
+]
+LAYOUT_ELSE = ("1200px (standard)", "Full-width sections, centered content", None)
+GENERIC_ADVICE = ["Refer to MASTER.md for all design rules", "Add specific overrides as needed for this page"]
+
 #: Theme words of design intents.
 INTENTS = {
     "cold": ["tech", "数据", "data", "AI", "科技", "digital", "analytics", "分析"],

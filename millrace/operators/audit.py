@@ -13,6 +13,7 @@ FORBIDDEN = ["FILTER", "UNIQUE", "SORT", "SORTBY", "XLOOKUP", "XMATCH", "SEQUENC
 #: Lookups that need array entry in some programs.
 IMPLICIT = [r"(?i)MATCH\s*\(\s*TRUE\s*\(\s*\)", r"(?i)MATCH\s*\(\s*TRUE\s*,", r"(?i)MATCH\s*\([^,]+[<>=!]+[^,]+,"]
 RANGE = r"([A-Z]{1,3})(\d+):([A-Z]{1,3})(\d+)"
+WORD = r"[\p{L}\p{M}\p{N}_]+"
 
 
 def column_letters(n: Column) -> Column:
@@ -133,12 +134,20 @@ def dialogue_problems(script: Column, host: str, guest: str, low: int, high: int
     ))
 
 
-def mentions(docs: DataFrame, key: str, text: str, names: DataFrame, name: str, pattern: str) -> DataFrame:
-    """(key, name) of names that occur in a text as whole words in any case.
-
-    Words of the text are joined with the names, so that the work grows with the text and not with text times names."""
-    w = docs.select(key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))).alias("__w"))
-    return w.join(names.select(F.col(name), F.lower(F.col(name)).alias("__w")).distinct(), "__w").select(key, name)
+def mentions(docs: DataFrame, key: str, text: str, names: DataFrame, name: str, pattern: str = WORD) -> DataFrame:
+    """(key, name) of names of one or several words that occur in a text as whole words in any case; between its words a name stands as it is written.
+
+    Words and what lies between them are tokens. A text's runs of as many tokens as some name has are joined with the names, so that the work grows with the
+    text and the number of different lengths of names, not with text times names. Names without a word are never found."""
+    token = F.lit(rf"(?s){pattern}|(?:(?!{pattern}).)+")
+    pieces = lambda c: F.regexp_extract_all(F.lower(c), token, F.lit(0))
+    n = names.select(F.col(name), F.lower(F.trim(name)).alias("__w"), F.size(pieces(F.trim(name))).alias("__n")).where(F.regexp_like("__w", F.lit(pattern))).distinct()
+    lengths = sorted(r[0] for r in n.select("__n").distinct().collect())
+    d = docs.select(key, pieces(F.col(text)).alias("__p"))
+    run = lambda k: F.transform(F.sequence(F.lit(0), F.size("__p") - k), lambda i: F.array_join(F.slice("__p", i + 1, F.lit(k)), ""))
+    runs = (F.when(F.size("__p") >= k, F.array_distinct(run(k))).otherwise(F.array().cast("array<string>")) for k in lengths)
+    w = d.select(key, F.explode(F.flatten(F.array(*runs) if lengths else F.array().cast("array<array<string>>"))).alias("__w"))
+    return w.join(n.select(name, "__w"), "__w").select(key, name).distinct()
 
 
 def rank_in(df: DataFrame, group: list[str], order: list[Column]) -> Column:

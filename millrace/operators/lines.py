@@ -84,6 +84,14 @@ def bigrams(docs: DataFrame, text: str = "text") -> DataFrame:
     return counts(pairs, "bigram")
 
 
+def mixed_dictionary(docs: DataFrame, text: str = "text", most: int = 250, most_words: int = 2000, most_bigrams: int = 500) -> DataFrame:
+    """The ``most`` words and pairs of words by cnt * (len - 2), among the commonest words and the commonest pairs. Counts are over all texts; the top-k are bounded."""
+    w = counts(words(docs, text), "word").select(F.col("word").alias("entry"), "cnt").orderBy(F.desc("cnt"), "entry").limit(most_words)
+    b = bigrams(docs, text).select(F.col("bigram").alias("entry"), "cnt").orderBy(F.desc("cnt"), "entry").limit(most_bigrams)
+    c = w.unionAll(b).withColumn("saving", (F.col("cnt") * (F.char_length("entry") - 2)).cast("bigint"))
+    return c.orderBy(F.desc("saving"), "entry").limit(most)
+
+
 def substrings(docs: DataFrame, text: str, strides: dict[int, int]) -> DataFrame:
     """All substrings of each length, at every so many characters."""
     sized = F.array(*(F.struct(F.lit(n).alias("n"), pieces(F.col(text), n, k).alias("g")) for n, k in strides.items()))

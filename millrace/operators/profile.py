@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.ranking import numbered
+
 INT, FLOAT, DATE = r"^[+-]?[0-9]+(_[0-9]+)*$", r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$", r"^\d{4}-\d{2}-\d{2}"
 #: Words that hint at program code.
 CODE = ["def ", "class ", "import ", "function ", "var ", "const "]
@@ -81,7 +82,7 @@ def json_key_types(df: DataFrame, key: str, json: str) -> DataFrame:
 def json_key_order(df: DataFrame, key: str, json: str) -> DataFrame:
     """The union of all keys in the order in which they are first seen."""
     first = json_pairs(df, key, json).groupBy("key").agg(F.min(F.struct("row", "pos")).alias("at"))
-    return first.select("key", (F.row_number().over(W.orderBy("at", "key")) - 1).cast("int").alias("position"))
+    return numbered(first.select("at.row", "at.pos", "key"), ["row", "pos", "key"], "position").select("key", F.col("position").cast("int").alias("position"))
 
 
 def json_presence(df: DataFrame, json: str) -> DataFrame:
@@ -107,7 +108,7 @@ def dictionary_bits(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def sorted_dictionary(df: DataFrame, column: str) -> DataFrame:
     """Each distinct value of an enumeration with its index in sorted order."""
-    return df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("idx", (F.row_number().over(W.orderBy(column)) - 1).cast("int"))
+    return numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], "idx").withColumn("idx", F.col("idx").cast("int"))
 
 
 def front_matter_problems(name: Column, description: Column, keys: Column) -> Column:

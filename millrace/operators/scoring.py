@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import clamp
+from millrace.operators.ranking import numbered
 
 
 def payout_band(ratio: Column) -> Column:
@@ -94,3 +95,8 @@ def compression_report(df: DataFrame, original: str, packed: str, baseline: str)
     """Mean of ratios, share saved and how often the packed size beats the baseline's."""
     ratio = F.when(F.col(packed) > 0, F.col(original) / F.col(packed)).otherwise(0.0)
     return df.agg(F.round(F.avg(ratio), 4).alias("mean_ratio"), F.round(100 * (1 - F.sum(packed) / F.sum(original)), 4).alias("saved_pct"), F.count_if(F.col(packed) < F.col(baseline)).alias("wins"))
+
+
+def ranked_rumors(rumors: DataFrame, key: str, score: str) -> DataFrame:
+    """Rumors from the highest impact down, ties by key, with their position from 0."""
+    return numbered(rumors.withColumn("__down", -F.col(score)), ["__down", key], "position").drop("__down")

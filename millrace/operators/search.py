@@ -72,6 +72,45 @@ def first_keyword(text: Column, rules: list[tuple[list[str], str]], default: str
     return out.otherwise(default)
 
 
+def page_type(context: Column, best_for: Column, rules: list[tuple[list[str], str]], fallback: list[tuple[list[str], str]], default: str = "General") -> Column:
+    """The type that the context's first fitting rule gives, else what the best style result is good for, else the default."""
+    direct = first_keyword(context, rules, "")
+    return F.when(direct != "", direct).otherwise(first_keyword(best_for, fallback, default))
+
+
+def overrides(results: DataFrame, page: str, layouts: list[tuple[list[str], str, str, str | None]], default: tuple[str, str, str | None], generic: list[str]) -> DataFrame:
+    """What a page overrides, from the ranked results of its searches: (``page``, ``domain``, ``rank``, ``fields`` as a map of strings).
+
+    The style result of rank 1 gives maximal width, layout and density by the first rule of ``layouts`` (words, width, layout, density) of which its keywords have a word,
+    else ``default``; without a style result only ``generic`` is left. Recommendations come from effects, the do's of guidelines and the placement of the call to action, in the order of domain and rank;
+    the don'ts become ``avoid``. Pages are grouped by key; each has a handful of results, by the k of its searches."""
+    get = lambda f: F.nullif(F.try_element_at("fields", F.lit(f)), F.lit(""))
+    say = lambda head, c: F.concat(head, F.lit(": "), c)
+    style, ux, landing = F.col("domain") == "style", F.col("domain") == "ux", F.col("domain") == "landing"
+    words = F.lower(F.coalesce(get("keywords"), F.lit("")))
+    laid = None
+    for keys, *values in layouts:
+        hit = F.exists(F.array(*map(F.lit, keys)), lambda w: F.contains(words, w))
+        value = F.struct(*(F.lit(v).cast("string").alias(n) for v, n in zip(values, ("width", "layout", "density"), strict=True)))
+        laid = F.when(hit, value) if laid is None else laid.when(hit, value)
+    plain = F.struct(*(F.lit(v).cast("string").alias(n) for v, n in zip(default, ("width", "layout", "density"), strict=True)))
+    laid = plain if laid is None else laid.otherwise(plain)
+    order = F.when(style, 0).when(ux, 1).otherwise(2)
+    said = F.array_compact(F.array(F.when(style, say(F.lit("Effects"), get("effects"))), F.when(ux, say(get("category"), get("do"))), F.when(landing, say(F.lit("CTA Placement"), get("cta")))))
+    avoid = F.when(ux, say(F.lit("Avoid"), get("dont")))
+    gathered = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.size(c) > 0, F.struct(order.alias("o"), F.col("rank"), c.alias("x"))))), lambda v: v["x"])
+    g = results.groupBy(page).agg(
+        F.max(F.when(style & (F.col("rank") == 1), laid)).alias("l"),
+        F.max(F.when(landing & (F.col("rank") == 1), get("sections"))).alias("sections"),
+        F.max(F.when(landing & (F.col("rank") == 1), get("colors"))).alias("colors"),
+        F.flatten(gathered(said)).alias("recommendations"),
+        F.flatten(gathered(F.array_compact(F.array(avoid)))).alias("avoid"),
+    )
+    told = F.when(F.size("recommendations") > 0, F.col("recommendations")).otherwise(F.array(*map(F.lit, generic)))
+    bare = F.col("l").isNull() & F.col("sections").isNull()
+    return g.select(page, F.when(bare, "1200px").otherwise(F.col("l.width")).alias("width"), F.when(bare, "Responsive grid").otherwise(F.col("l.layout")).alias("layout"), F.col("l.density").alias("density"), "sections", "colors", told.alias("recommendations"), "avoid")
+
+
 def style_votes(text: Column, explicit: dict[str, list[str]], scenes: dict[str, list[str]], default: str) -> Column:
     """An explicit style word wins over the votes of scene words, these over the default."""
     first, second = F.array_max(keyword_votes(text, explicit)), F.array_max(keyword_votes(text, scenes))

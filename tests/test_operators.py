@@ -216,3 +216,57 @@ def test_fuzzy_pairs_are_no_product(spark):
     plan.collect()
     joins = plan._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in joins and "BroadcastNestedLoopJoin" not in joins
+
+
+def test_positions_span_ranges_and_hold_ties_nulls_and_empty_tables(spark):
+    from millrace.operators.ranking import numbered
+
+    rows = [(i * 7919 % 101, f"k{i}") for i in range(500)] + [(None, "none"), (None, None)]
+    d = spark.createDataFrame(rows, "a int, b string")
+    for bounds in (1, 5, 200):
+        got = {(r.a, r.b): r.p for r in numbered(d, ["a", "b"], "p", bounds).collect()}
+        wanted = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+        assert got == {r: i for i, r in enumerate(wanted)}
+    assert numbered(d.where("false"), ["a", "b"], "p").count() == 0
+    same = spark.createDataFrame([(1,)] * 5, "a int")
+    assert sorted(r.p for r in numbered(same, ["a"], "p").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_names_of_several_words_keep_what_lies_between(spark):
+    from millrace.operators.audit import mentions
+
+    docs = spark.createDataFrame([(1, "Anna Maria went home."), (2, "anna  maria"), (3, "Annabel met O'Brien"), (4, None), (5, ""), (6, "anna maria, ANNA maria")], "id int, t string")
+    names = spark.createDataFrame([("Anna",), ("Anna Maria",), (" O'Brien ",), ("...",), (None,)], "name string")
+    got = sorted((r.id, r.name.strip()) for r in mentions(docs, "id", "t", names, "name").collect())
+    assert got == [(1, "Anna"), (1, "Anna Maria"), (2, "Anna"), (3, "O'Brien"), (6, "Anna"), (6, "Anna Maria")]
+    assert mentions(docs, "id", "t", names.where("false"), "name").count() == 0
+
+
+def test_nested_json_of_odd_rows(spark):
+    from millrace.operators import nested
+
+    d = spark.createDataFrame([(1, "{}"), (2, "[1,[2,{\"a\":[]}]]"), (3, "no json {"), (4, None), (5, "7"), (6, '{"a":{"b":{"c":{"d":"}{"}}}}')], "id int, j string")
+    got = sorted((r.row, r.path, r.value) for r in nested.leaves(d, "id", "j").collect())
+    assert got == [(2, "$[0]", "1"), (2, "$[1][0]", "2"), (5, "$", "7"), (6, "$.a.b.c.d", "}{")]
+    assert nested.short_names(d, "j") == {"a": "K00", "b": "K01", "c": "K02", "d": "K03"}
+    renamed = {r.id: r.x for r in d.select("id", nested.rename(d, "j", {"a": "x", "d": "y"}).alias("x")).collect()}
+    assert renamed == {1: "{}", 2: '[1,[2,{"x":[]}]]', 3: "no json {", 4: None, 5: "7", 6: '{"x":{"b":{"c":{"y":"}{"}}}}'}
+
+
+def test_story_of_odd_texts(spark):
+    from millrace.operators import story
+
+    d = spark.createDataFrame([(1, None), (2, "plain"), (3, "## Second\n# First one \n**POV:** Ann & Bob and Cy, Ann\n**When:** noon")], "id int, t string")
+    got = {r.id: (r.timepoint, r.chapter, r.characters) for r in story.events(d, "id", "t").collect()}
+    assert got == {1: ("Unspecified", "Unknown", []), 2: ("Unspecified", "Unknown", []), 3: ("noon", "First one", ["Ann", "Bob", "Cy"])}
+
+
+def test_overrides_without_results_fall_back(spark):
+    from millrace.functions.vocabularies import GENERIC_ADVICE, LAYOUT_ELSE, LAYOUTS
+    from millrace.operators.search import overrides
+
+    rows = [("a", "ux", 1, {"category": "Touch", "do": "", "dont": ""}), ("b", "style", 1, {"keywords": "Bold", "effects": "fade"}), ("b", "ux", 2, {"category": "Y", "do": "y", "dont": "n"}), ("b", "ux", 1, {"category": "X", "do": "x"})]
+    d = spark.createDataFrame(rows, "page string, domain string, rank int, fields map<string,string>")
+    got = {r.page: r for r in overrides(d, "page", LAYOUTS, LAYOUT_ELSE, GENERIC_ADVICE).collect()}
+    assert (got["a"].width, got["a"].layout, got["a"].recommendations, got["a"].avoid) == ("1200px", "Responsive grid", GENERIC_ADVICE, [])
+    assert (got["b"].width, got["b"].density, got["b"].recommendations, got["b"].avoid) == ("1200px (standard)", None, ["Effects: fade", "X: x", "Y: y"], ["Avoid: n"])
