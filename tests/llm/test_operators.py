@@ -360,6 +360,28 @@ def test_quality_posteriors_equal_plain_python(spark):
         assert got[s[0], s[2]] == pytest.approx((g + sp * post[s[0]]) / (m + sp))
     for h in post:
         assert got[h, None] == pytest.approx(post[h])
+    # judged documents: the same formulas over the labels of all other folds
+    fold = {r.doc_id: r.f for r in d.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(quality_classifier.FOLDS)).alias("f")).collect()}
+    label = dict(lab)
+    judged = quality_classifier.judge(d, spark.createDataFrame(lab, "doc_id bigint, quality int"), F.col("h"), F.col("p")).collect()
+    assert len(judged) == len(docs)
+    for r in judged:
+        other = [(x[2], x[3], label[x[0]]) for x in docs if fold[x[0]] != fold[r.doc_id]]
+        of_host, of_path = [y for h, _, y in other if h == r.host], [y for h, q, y in other if (h, q) == (r.host, r.path)]
+        hp = (sum(of_host) + sh * mean) / (len(of_host) + sh)
+        assert r.host_posterior == pytest.approx(hp) and r.path_posterior == pytest.approx((sum(of_path) + sp * hp) / (len(of_path) + sp))
+
+
+def test_own_label_never_counts(spark):
+    docs = [(k, "t", "h", f"p{k}") for k in range(40)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, h string, p string")
+    post = []
+    for own in (0, 1):
+        lab = spark.createDataFrame([(k, own if k == 7 else k % 2) for k in range(40)], "doc_id bigint, quality int")
+        table = quality_classifier.sites(d, lab, F.col("h"), F.col("p")).where("__path = 'p7'").first()
+        assert table["__path_post"] != next(iter(table["__folds"].values())).p
+        post.append(quality_classifier.judge(d, lab, F.col("h"), F.col("p")).where("doc_id = 7").first().path_posterior)
+    assert abs(post[0] - post[1]) < 0.05  # only the global rate moves
 
 
 def test_quality_evidence_is_the_optimum_and_enters_the_posterior(spark):
