@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import pieces
+from millrace.operators.grams import best
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -107,11 +108,15 @@ def ngram_savings(docs: DataFrame, text: str = "text", lengths: list[int] | None
 
 
 def sampled_substrings(docs: DataFrame, text: str = "text", lengths: list[int] | None = None, most: int = 4000) -> DataFrame:
-    """Long substrings at strides of a quarter of their length; the count is estimated as 1 + (k - 1) * stride."""
-    c = substrings(docs, text, {n: max(1, n // 4) for n in lengths or [8, 16, 32, 64, 128]}).groupBy("gram", "n").agg(F.count("*").alias("seen")).where("seen > 1")
-    c = c.withColumn("cnt", (1 + (F.col("seen") - 1) * F.greatest(F.lit(1), F.floor(F.col("n") / 4))).cast("bigint"))
-    c = c.withColumn("saving", (F.col("cnt") * (F.col("n") - 3) - (F.col("n") + 6)).cast("bigint")).where("saving > 0")
-    return c.orderBy(F.desc("saving"), "gram").limit(most)
+    """Long substrings at strides of a quarter of their length; the count is estimated as 1 + (k - 1) * stride. Runs jobs at once: only what may be among the best is shuffled."""
+    strides = {n: max(1, n // 4) for n in lengths or [8, 16, 32, 64, 128]}
+
+    def estimate(n: int, seen):
+        return 1 + (seen - 1) * strides[n]
+
+    c = best(docs, text, strides, lambda n, seen: estimate(n, seen) * (n - 3) - (n + 6), most)
+    cnt = F.coalesce(*(F.when(F.col("n") == n, estimate(n, F.col("seen"))) for n in strides))
+    return c.select("gram", "n", "seen", cnt.cast("bigint").alias("cnt"), F.col("worth").alias("saving"))
 
 
 def byte_pairs(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -1,6 +1,8 @@
 """Hand-computed results, edge cases, and operators without SQL."""
 
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from millrace.functions import numbers as N
 from millrace.functions import text as X
 from millrace.operators import aggregates as A
 from millrace.operators import audit as U
+from millrace.operators import grams as G
 from millrace.operators import lines as L
 from millrace.operators import profile as P
 from millrace.operators import scoring as C
@@ -270,3 +273,48 @@ def test_overrides_without_results_fall_back(spark):
     got = {r.page: r for r in overrides(d, "page", LAYOUTS, LAYOUT_ELSE, GENERIC_ADVICE).collect()}
     assert (got["a"].width, got["a"].layout, got["a"].recommendations, got["a"].avoid) == ("1200px", "Responsive grid", GENERIC_ADVICE, [])
     assert (got["b"].width, got["b"].density, got["b"].recommendations, got["b"].avoid) == ("1200px (standard)", None, ["Effects: fade", "X: x", "Y: y"], ["Avoid: n"])
+
+
+def _substrings(texts, most, lengths=(8, 16, 32, 64, 128)):
+    seen = Counter((t[i : i + n], n) for t in texts if t for n in lengths for i in range(0, len(t) - n + 1, n // 4))
+    cnt = {(g, n, k): 1 + (k - 1) * (n // 4) for (g, n), k in seen.items() if k > 1}
+    rows = [(g, n, k, c, c * (n - 3) - (n + 6)) for (g, n, k), c in cnt.items()]
+    return sorted((r for r in rows if r[4] > 0), key=lambda r: (-r[4], r[0].encode()))[:most]
+
+
+@pytest.mark.parametrize("most", [1, 7, 60, 100_000])
+@pytest.mark.parametrize("buckets", [12, 22])
+def test_sampled_substrings_are_exact_with_any_sketch(spark, monkeypatch, most, buckets):
+    """With 4,096 buckets most substrings share theirs, and a second round is needed."""
+    monkeypatch.setattr(G, "layout", lambda strides, layout=G.layout: layout(strides, buckets))
+    rounds, counts = [], G.counts
+    monkeypatch.setattr(G, "counts", lambda docs, text, lengths, chosen: rounds.append(int(chosen.sum())) or counts(docs, text, lengths, chosen))
+    rng = random.Random(5)
+    made = ["".join(rng.choices("abcdeé–テ😀\n ", k=rng.randrange(900))) for _ in range(60)]
+    texts = [None, "", "seven c", "8 chars!", "8 chars!", "é" * 200, "é" * 200, "😀テ" * 80, *made, *made[:20], *[m[k:] for k, m in enumerate(made[:9])], "a\x00b\n" * 70]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert [tuple(r) for r in L.sampled_substrings(docs, most=most).collect()] == _substrings(texts, most)
+    assert len(rounds) == 2 if (buckets, most) == (12, 60) else rounds
+
+
+def test_sampled_substrings_of_nothing(spark):
+    for rows in ([], [(None,)], [("no repeats at all",)]):
+        assert L.sampled_substrings(spark.createDataFrame(rows, "text string")).collect() == []
+
+
+def test_sampled_substrings_shuffle_few_of_the_substrings(spark):
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        executors = sc.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    rng = random.Random(6)
+    common = ["".join(rng.choices("abcdefghijklmnop", k=200)) for _ in range(20)]
+    texts = ["".join(rng.choices("abcdefghijklmnop", k=4000)) + "".join(common) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
+    before = shuffled()
+    got = [tuple(r) for r in L.sampled_substrings(docs, most=50).collect()]
+    written = shuffled() - before
+    assert got == _substrings(texts, 50)
+    assert 0 < written < 2 * sum(map(len, texts)), written
